@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +138,13 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64 if flags.dtype.kind in "bui" else np.float64)
     np.cumsum(flags, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, unless their PYTHONPATH has it already."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in map(os.path.abspath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_tidewell_sent", False):
+        return
+    # the driver serves the archive for as long as the session lives
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidewell", "zip", root, "tidewell"))
+    spark.sparkContext._tidewell_sent = True

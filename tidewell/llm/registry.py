@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_output
+from functools import wraps
+
+from . import lm_scoring, mixing, ngram_join, quality_rules, sharding, token_output
+from .common import ship
+
+
+def _sent(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
+        "op2_lm_scoring": lm_scoring.op2,
+        "op3_mixing": mixing.op3,
+        "op4_sharding": sharding.op4,
+        "op5_ngram_join": ngram_join.op5,
         "op9_quality_rules": quality_rules.op9,
         "op10_token_output": token_output.op10,
     }
+    return {k: _sent(f) for k, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.OP3_SQL,
+    }
