@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import lm_scoring, mixing, ngram_join, quality_rules, sharding, token_output
+from . import decontamination, license_scan, lm_scoring, mixing, ngram_join, quality_rules, sharding, token_output
 from .common import ship
 
 
@@ -23,6 +23,8 @@ def queries() -> dict:
         "op3_mixing": mixing.op3,
         "op4_sharding": sharding.op4,
         "op5_ngram_join": ngram_join.op5,
+        "op6_decontamination": decontamination.op6,
+        "op8_license_scan": license_scan.op8,
         "op9_quality_rules": quality_rules.op9,
         "op10_token_output": token_output.op10,
     }
@@ -32,4 +34,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.OP3_SQL,
+        "op6_decontamination": decontamination.OP6_SQL,
+        "op8_license_scan": license_scan.OP8_SQL,
     }

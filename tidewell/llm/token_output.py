@@ -18,7 +18,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,14 @@ def unpack(words: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> np.nd
     return out[keep]
 
 
+class Numbered(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = i = len(self)
+        return i
+
+
 class Encoder:
     """Encodes whole texts; what stands between two spaces is encoded once and remembered.
 
@@ -106,7 +114,7 @@ class Encoder:
     pre-token and the pieces of text.split(" ") can be encoded apart. Texts where a piece would cut a run of white space go whole.
     """
 
-    CACHE = 1_000_000
+    CACHE = 1_500_000
     WHOLE = re.compile(r"[^\S ] {2}|[\x00-\x02\x1c-\x1f]| [^\S ] ")
     PIECES = re.compile(r" *[^ ]+| +")
     LINES = re.compile(r"\s\n|\n[^\S ]|\n\Z|\A\n")
@@ -119,7 +127,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbered()
         self.begin, self.length, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -136,7 +144,6 @@ class Encoder:
             self.begin[self.n : self.n + len(ids)] = self.used + np.cumsum(lengths) - lengths
             self.length[self.n : self.n + len(ids)] = lengths
             self.flat[self.used : self.used + len(joined)] = joined
-            self.known.update(zip(pieces[at : at + 20_000], range(self.n, self.n + len(ids)), strict=True))
             self.n, self.used = self.n + len(ids), self.used + len(joined)
 
     def pieces(self, text: str) -> list[str]:
@@ -159,9 +166,9 @@ class Encoder:
             found = self.pieces(text) if text else []
             every += found
             sizes.append(len(found))
-        if new := list(dict.fromkeys(x for x in every if x not in self.known)):
-            self.learn(new)
         where = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        if len(self.known) > self.n:
+            self.learn(list(islice(reversed(self.known), len(self.known) - self.n))[::-1])
         lengths = self.length[where]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.begin[where] - ends[:-1], lengths) + np.arange(ends[-1])]
