@@ -48,7 +48,7 @@ def _per_block(table: DataFrame, use) -> DataFrame:
     n = max(1, -(-held.count() // BLOCK))
     out = None
     for i in range(n):
-        part = use(F.broadcast(held.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i)))  # about BLOCK rows; a word's rows stay together
+        part = use(F.broadcast(held if n == 1 else held.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i)))  # about BLOCK rows; a word's rows stay together
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -67,12 +67,12 @@ def scanned(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int
         fits = lambda s: (at(s) >= 0) & (at(s) + F.col("size") <= n)
         equal = lambda s: F.when(fits(s), F.slice("words", at(s) + 1, F.col("size")) == F.slice("around", s - F.col("low") + 1, F.col("size"))).otherwise(False)
         hits = F.transform(F.filter("starts", equal), lambda s: F.struct(at(s).alias("a"), (at(s) + F.col("size")).alias("b")))
-        found = placed.join(part, "word").select(*carry, n.cast("long").alias("n_words"), "item_id", hits.alias("hits"))
-        return found.where(F.col("item_id").isNull() | (F.size("hits") > 0))
+        # unverified matches stay, with no hits: a filter on hits would move into the join and stop its code generation
+        return placed.join(part, "word").select(*carry, n.cast("long").alias("n_words"), "item_id", hits.alias("hits"))
 
     held = staged(table, "prefixes")
     found = _per_block(held.unionByName(end), use)
-    group = found.groupBy(*carry).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    group = found.groupBy(*carry).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("spans"), F.array_sort(F.collect_set(F.when(F.size("hits") > 0, F.col("item_id")))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto"))
     return group.select(*carry, "n_words", F.aggregate("spans", start, step)["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import decontamination, license_scan, lm_scoring, mixing, ngram_join, quality_rules, sharding, token_output
+from . import decontamination, license_scan, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, token_output
 from .common import ship
 
 
@@ -19,11 +19,13 @@ def _sent(query):
 
 def queries() -> dict:
     found = {
+        "op1_quality_classifier": quality_classifier.op1,
         "op2_lm_scoring": lm_scoring.op2,
         "op3_mixing": mixing.op3,
         "op4_sharding": sharding.op4,
         "op5_ngram_join": ngram_join.op5,
         "op6_decontamination": decontamination.op6,
+        "op7_pii": pii.op7,
         "op8_license_scan": license_scan.op8,
         "op9_quality_rules": quality_rules.op9,
         "op10_token_output": token_output.op10,
