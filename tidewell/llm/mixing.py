@@ -60,8 +60,8 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     table = lookup(rates(docs, weights, alpha)).select(F.col("source").alias(key), F.struct("rate", "pieces", "cdf").alias(mix))
     base = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     m = F.col(mix)
-    under = lambda i: F.size(F.filter(m["cdf"], lambda c: c <= uniform(F.col(key), i.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), m["pieces"]), F.lit(0), lambda t, i: t + under(i))
+    draws = F.transform(F.sequence(F.lit(1), m["pieces"]), lambda i: uniform(F.col(key), i.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda t, u: t + F.size(F.filter(m["cdf"], lambda c: c <= u)))
     own = docs.join(table, F.col("source").cast("string").eqNullSafe(F.col(key)), "left").withColumn(key, base)
     counted = own.withColumn(mix, F.struct(count.alias("n_copies"), m["rate"].alias("rate"), F.col(key).alias("base"))).drop(key)
     copies = counted.where(m["n_copies"] > 0).withColumn(key, F.explode(F.sequence(F.lit(1), m["n_copies"])))
