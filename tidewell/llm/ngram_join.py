@@ -3,8 +3,9 @@
 1. Every whole text becomes its set of shingles (words: runs of 0-9, a-z and non-ASCII after A-Z is lowered; a text of one to four words is
    one shingle). Equal sets are one node, named by a 64-bit hash of the set. A node has a MinHash signature of SIGNATURE values.
 2. Chosen paths: in each of RUNS runs, nodes are dealt into buckets by a sampled signature value; buckets over SMALL are split again by
-   another sampled value, and so on to DEPTH. A large bucket's first node is compared with all the others; what is very close to it
-   leaves the bucket, so groups of near copies don't stay together to be compared pair by pair. Small buckets are compared by brute force.
+   another sampled value, and so on to DEPTH. A large bucket's centre (the commonest signature values of about SMALL of its nodes) is
+   compared with all its nodes; those near it are linked to the nearest one, and the very near ones leave the bucket, so a group of near
+   copies doesn't stay together to be compared pair by pair. Small buckets are compared by brute force.
 3. Nodes whose signatures agree in at least CANDIDATE of the values make candidate components. Within these, the exact Jaccard similarity
    of all pairs of nodes is computed, in blocks of BLOCK nodes, and every link of `threshold` or more is counted.
 
@@ -31,7 +32,8 @@ RUNS = 8
 DEPTH = 6
 SMALL = 48
 CANDIDATE = 38  # of 64: four standard deviations below 0.8
-CLOSE = 61  # of 64: leaves a large bucket with its first node
+CLOSE = 52  # of 64: leaves a large bucket; what links to it agrees with the centre in 64 * (1 - 12/64 - 0.2) = 39 values on average at worst,
+NEAR = 32  # so what agrees in two standard deviations less is linked to the centre's nearest node before that
 BLOCK = 512
 #: Ids of texts to read again that are broadcast; more go through a shuffled join.
 ACTIVE_ROWS = 300_000
@@ -204,9 +206,9 @@ def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
     while True:
         level += 1
         rows = staged(rows, "paths")
-        buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("mark")).where("n > 1"), "buckets")
+        buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("mark")).where("n > 1"), "buckets")
         # the same small bucket in several runs is compared once
-        small = buckets.where(F.col("n") <= SMALL).groupBy("n", "pivot", "mark").agg(F.min("key").alias("key")).select("key")
+        small = buckets.where(F.col("n") <= SMALL).groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key")
         part = rows.join(small, "key").select("key", "node")
         leaves = part if leaves is None else leaves.unionByName(part)
         large = buckets.where(F.col("n") > SMALL)
@@ -219,12 +221,15 @@ def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
             both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64(F.col("key"), F.least(mine, o), F.greatest(mine, o)))
             leaves = leaves.unionByName(rows.join(large, "key").select("node", F.explode(F.array_distinct(both)).alias("key")).select("key", "node"))
             break
-        pivots = large.select("key", "pivot").join(nodes.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        own = rows.join(large.select("key"), "key").join(nodes, "node")
-        seen = staged(own.join(pivots, "key").select("key", "node", "sig", "pivot", _agree(F.col("sig"), F.col("pivot_sig")).alias("same")), "pivots")
-        link = seen.where((F.col("same") >= CANDIDATE) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        members = rows.join(large.select("key", "n"), "key")
+        some = members.where(F.pmod(F.xxhash64("node", F.lit("centre")), F.ceil(F.col("n") / SMALL).cast("long")) == 0).join(nodes, "node")  # for the centres only
+        centres = some.groupBy("key").agg(F.array(*(F.mode(F.get("sig", F.lit(i)), True) for i in range(SIGNATURE))).alias("centre"))
+        seen = staged(members.join(nodes, "node").join(centres, "key", "left").select("key", "node", "sig", F.coalesce(_agree(F.col("sig"), F.col("centre")), F.lit(0)).alias("same")), "centred")
+        near = seen.where(F.col("same") >= NEAR)
+        heads = near.groupBy("key").agg(F.max_by("node", F.struct("same", "node")).alias("head"))
+        link = near.join(heads, "key").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
         links = link if links is None else links.unionByName(link)
-        rows = seen.where((F.col("same") < CLOSE) | (F.col("node") == F.col("pivot"))).select("node", F.explode(_children(F.col("key"), F.col("sig"))).alias("key"))
+        rows = seen.where(F.col("same") < CLOSE).select("node", F.explode(_children(F.col("key"), F.col("sig"))).alias("key"))
     brute = leaves.join(nodes, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(_brute, "a long, b long")
     return staged((brute if links is None else brute.unionByName(links)).distinct(), "links")
 
