@@ -398,4 +398,4 @@ def gazetteer_match(t):
 
     texts = t("nation").join(t("region"), c("r_regionkey") == c("n_regionkey")).select(F.concat_ws(" ", "r_name", "n_name").alias("place_text"))
     places = texts.sparkSession.createDataFrame([("East", "x", [], 0), ("Middle East", "y", ["near east"], 1), ("Asia", "z", [], 2), ("America", "w", [], 3)], "name string, region string, aliases array<string>, ord int")
-    return texts.join(geo.match_places(texts, "place_text", places), "place_text", "left").select("place_text", "place")
+    return texts.join(geo.match_places(texts, "place_text", places), c("place_text") == c("_text"), "left").select("place_text", "place")

@@ -48,26 +48,26 @@ def needles(places: DataFrame) -> DataFrame:
 
 
 def match_places(texts: DataFrame, column: str, places: DataFrame) -> DataFrame:
-    """column, place, region for each distinct text: the longest needle that stands as words, else the longest of INSIDE letters and more anywhere.
+    """_text, place, region for each distinct text of the column: the longest needle that stands as words, else the longest of INSIDE letters and more anywhere.
 
     Word matches are an equi-join of the text's word n-grams with the needles. Only texts without one are compared with the needles by
     substring, in which the gazetteer is the stated query set.
     """
-    dim = needles(places)
+    dim = needles(places).select("needle", "n_words", "length", F.struct(F.col("place").alias("place"), F.col("region").alias("region")).alias("_spot"), F.struct((-F.col("length")).alias("l"), "ord").alias("_by"))
     longest = dim.agg(F.max("n_words")).first()[0] or 1
-    keys = texts.select(column).where(F.col(column).isNotNull()).distinct().withColumn("k", place_key(F.col(column)))
+    keys = texts.select(F.col(column).alias("_text")).where(F.col("_text").isNotNull()).distinct().withColumn("k", place_key(F.col("_text")))
     words = F.split("k", " ")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))))
-    best = F.min_by(F.struct("place", "region"), F.struct((-F.col("length")).alias("l"), F.col("ord"))).alias("hit")
-    whole = keys.select(column, "k", F.explode(F.array_distinct(grams)).alias("needle")).join(dim, "needle").groupBy(column).agg(best)
-    left = keys.join(whole, column, "left_anti")
-    inside = left.join(F.broadcast(dim.where(F.col("length") >= INSIDE)), F.col("k").contains(F.col("needle"))).groupBy(column).agg(best)  # the gazetteer: a few hundred rows
-    return whole.unionByName(inside).select(column, F.col("hit.place").alias("place"), F.col("hit.region").alias("region"))
+    best = F.min_by("_spot", "_by").alias("hit")
+    whole = keys.select("_text", F.explode(F.array_distinct(grams)).alias("needle")).join(dim, "needle").groupBy("_text").agg(best)
+    left = keys.join(whole, "_text", "left_anti")
+    inside = left.join(F.broadcast(dim.where(F.col("length") >= INSIDE)), F.col("k").contains(F.col("needle"))).groupBy("_text").agg(best)  # the gazetteer: a few hundred rows
+    return whole.unionByName(inside).select("_text", F.col("hit.place").alias("place"), F.col("hit.region").alias("region"))
 
 
 def locate(rows: DataFrame, column: str, places: DataFrame) -> DataFrame:
     """Adds geo: city, region, country, isOntario, isCanada, isRemote."""
-    found = match_places(rows, column, places).withColumnRenamed(column, "_text")
+    found = match_places(rows, column, places)
     k = F.concat(F.lit(" "), place_key(F.col(column)), F.lit(" "))
     home = F.col("_hit.place").isNotNull() | k.rlike(HOME_WORDS)
     here = home | k.rlike("|".join(COUNTRY_WORDS)) | k.rlike(PROVINCES)

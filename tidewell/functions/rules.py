@@ -36,7 +36,8 @@ def first_rule(rules: list[tuple[str, str]], text: Column, default: str | None =
 
 
 def all_rules(rules: list[tuple[str, str]], text: Column, limit: int) -> Column:
-    return F.slice(F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules))), 1, limit)
+    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules))) if rules else F.array().cast("array<string>")
+    return F.slice(found, 1, limit)
 
 
 def slice_section(text: Column, start: str, stops: list[str], least: int = 40, most: int = 4000) -> Column:
