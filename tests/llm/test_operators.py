@@ -1,0 +1,436 @@
+"""The ten operators against brute-force versions, and on odd tables."""
+
+import hashlib
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from compare import DATA, connection, difference
+
+from tidewell.llm import decontamination, license_scan, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, token_output
+from tidewell.llm.common import ship
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LINE = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+ODD = [
+    (0, LINE, "en", "a", 1), (1, LINE, "en", "a", 1), (1, LINE, "en", "a", 1), (2, LINE.upper() + "!", "en", "b", 1), (3, None, None, None, None), (4, "", "", "", 0), (5, "   \n\t ", "en", "a", 3), (6, "one two", "fr", "a", 7), (7, "one two", "fr", "a", 7),
+    (8, "x" * 50_000, "en", "b", 50_000), (9, "w " * 30_000, "en", "b", 60_000), (10, "Été 日本 😀 ñ\n" * 60, "es", "c", 1), (None, "no id at all but some words here", "en", "a", 1), (11, "under the MIT license. Apache License, Version 2.0; CC BY-NC", "en", "c", 1), (12, "a@b.co 1.2.3.4 4111 1111 1111 1111 +1 (234) 555-6789", "en", "c", 1),
+    (13, "$$$ ### " * 40, "en", "c", 1), (14, "same line\nsame line\nother\nsame line", "en", "c", 1), (15, "<|endoftext|> 's  ll x", "en", "c", 1),
+]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def sent(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with columns whose names the operators use themselves."""
+    extra = ["words", "node", "mix", "row", "g", "part", "quality_metrics", "at", "raw", "f", "spans"]
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumns({x: F.lit(1) for x in extra}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, LINE), (2, "one two"), (3, None), (4, ""), (5, LINE), (6, "w " * 12)], "item_id long, text string")
+
+
+def words_of(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+# ---- 1 ----
+
+
+def test_classifier_held_out_accuracy(spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = quality_classifier.quality_scores(*d).join(d[1], "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.95
+    assert labels.count() > 0
+
+
+def test_classifier_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(0, 1), (8, 0), (9, 0), (10, 1), (13, 0), (None, 1), (3, None), (6, 7)], "doc_id long, quality int")
+    got = quality_classifier.quality_scores(odd, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert len({round(r.score, 12) for r in got if r.doc_id in (0, 1)}) == 1
+    assert {r.score for r in quality_classifier.quality_scores(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality_classifier.quality_scores(none, labels.limit(0)).collect() == []
+
+
+def test_rules_compile_to_what_numpy_says(spark, docs):
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, len(quality_classifier.NAMES)))
+    y = ((x[:, 0] > 0.5) & (x[:, 3] < 0.7)).astype(float)
+    found, w, b = quality_classifier.fit(x, y)
+    z = b + sum(wi * quality_classifier.holds(x, r) for r, wi in zip(found, w, strict=True))
+    assert ((z > 0) == (y > 0)).mean() > 0.97
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], quality_classifier.NAMES).select(F.struct(*quality_classifier.NAMES).alias("f"))
+    got = [r.s for r in df.select(quality_classifier.compiled(found, w, b, F.col("f")).alias("s")).collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-z[:50])))
+
+
+# ---- 2 ----
+
+
+def test_lm_learns_and_scores(spark, docs, odd, none):
+    got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs).collect()}
+    assert len(got) == docs.count()
+    mean = sum(r.log_likelihood for r in got.values()) / sum(r.n_tokens for r in got.values())
+    assert mean > -np.log(lm_scoring.VOCABULARY) + 0.5  # better than no model
+    rows = lm_scoring.pseudo_likelihood(odd).collect()
+    assert len(rows) == len(ODD)
+    by = {r.doc_id: r for r in rows}
+    assert by[3].n_tokens == by[4].n_tokens == by[5].n_tokens == 0 and by[3].log_likelihood == 0 and by[3].mean_log_likelihood is None
+    assert by[0].log_likelihood == by[1].log_likelihood and by[9].n_tokens == 30_000
+    assert lm_scoring.pseudo_likelihood(none).collect() == []
+
+
+def test_lm_probabilities_sum_to_one():
+    net = lm_scoring.Network(32, 2, 8)
+    context = np.random.default_rng(0).integers(0, 32, (5, 4)).astype(np.int32)
+    total = sum(np.exp(net.logs(context, np.full(5, t))) for t in range(32))
+    assert np.allclose(total, 1, atol=1e-4)
+    assert lm_scoring.contexts(np.array([1, 2, 3, 4]), np.array([0, 3, 4]), np.arange(4), 2).tolist() == [[0, 0, 2, 3], [0, 1, 3, 0], [1, 2, 0, 0], [0, 0, 0, 0]]
+
+
+# ---- 3 ----
+
+
+def test_mixing_matches_sql(spark, docs):
+    from tidewell.llm import registry
+
+    df = registry.queries()["op3_mixing"](spark, DATA)
+    assert difference(df.collect(), df.columns, connection(), mixing.OP3_SQL) == ([], [])
+
+
+def test_mixing_rates_and_odd_rows(spark, odd, none):
+    got = mixing.replicated(odd, {"a": 1.0}).collect()
+    assert {r.source for r in got} <= {"a", "b", "c", "", None}
+    assert all(r.mix == 1 for r in got)  # the table's own column
+    big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 1000, "x").otherwise("y").alias("source"))
+    n = {r.source: r["count"] for r in mixing.mixed_documents(big, {"x": 0.5, "y": 0.5}).groupBy("source").count().collect()}
+    assert abs(n["x"] - 10_000) < 500 and abs(n["y"] - 10_000) < 500
+    var = [r["count"] for r in mixing.mixed_documents(big.where("source = 'x'").unionByName(big.where("source = 'y'")), {"x": 0.5, "y": 0.5}).where("source = 'x'").groupBy("doc_id").count().collect()]
+    assert abs(np.var(var) / np.mean(var) - 1) < 0.25  # a Poisson distribution's variance is its mean
+    assert mixing.mixed_documents(none).collect() == []
+    large = mixing.mixed_documents(big.limit(3).unionByName(big.where("doc_id >= 1000")), {"x": 0.9, "y": 0.1}).where("source = 'x'").count()
+    assert large > 10_000  # means far beyond one piece
+
+
+# ---- 4 ----
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_sharding(request, table):
+    df = request.getfixturevalue(table)
+    rows = sharding.shard_documents(df).collect()
+    texts = [(r.doc_id, r.text) for r in df.collect()]
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts)
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r)
+    for own in shards.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    of = defaultdict(set)
+    for i, t in texts:
+        if t is not None and i is not None:
+            of[t] |= {r.shard for r in rows if r.doc_id == i}
+    assert all(len(s) == 1 for s in of.values())
+    if table == "docs":
+        load = [sum(r["size"] for r in shards[s]) for s in range(16)]
+        assert max(load) < 1.1 * np.mean(load)
+
+
+def test_sharding_of_nothing(none):
+    assert sharding.shard_documents(none).collect() == []
+    assert sharding.longest_first([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+# ---- 5 ----
+
+
+def brute_pairs(rows):
+    sets = []
+    for r in rows:
+        w = words_of(r.text)
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    links = [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) / len(a | b) >= 0.8] for i, a in enumerate(sets)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in enumerate(links):
+        for j in own:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    ids = defaultdict(list)
+    for i, r in enumerate(rows):
+        ids[find(i)].append(r.doc_id)
+    return [(r.doc_id, min((x for x in ids[find(i)] if x is not None), default=None), len(links[i])) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_near_duplicates(request, table):
+    df = request.getfixturevalue(table)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == Counter(brute_pairs(df.collect()))
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for j in rng.integers(0, 200, 2):
+            w[j] = f"e{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == Counter(brute_pairs(df.collect()))
+
+
+def test_one_of_each_stays(odd, none, docs):
+    kept = ngram_join.first_of_each(odd)
+    assert kept.columns == odd.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[0] == 1 and 1 not in ids and 2 not in ids and ids[6] == 1 and 7 not in ids and ids[3] == ids[4] == ids[5] == 1 and ids[None] == 1
+    assert ngram_join.near_duplicates(none).collect() == []
+    assert ngram_join.first_of_each(docs).count() == len({c for _, c, _ in brute_pairs(docs.collect())})
+
+
+# ---- 6 ----
+
+
+def brute_windows(text, items, window=10):
+    w = words_of(text)
+    hit, ids = set(), set()
+    for i, item in items:
+        v = words_of(item)
+        size = min(window, len(v))
+        wins = {tuple(v[s : s + size]) for s in range(len(v) - size + 1)} if v else set()
+        for s in range(len(w) - size + 1):
+            if tuple(w[s : s + size]) in wins:
+                hit |= set(range(s, s + size))
+                ids.add(str(i))
+    return len(w), len(hit), tuple(sorted(ids))
+
+
+def test_decontamination_matches_sql(spark):
+    df = decontamination.op6(spark, DATA)
+    assert difference(df.collect(), df.columns, connection(), decontamination.OP6_SQL) == ([], [])
+
+
+def test_decontamination_on_odd_rows(odd, benchmark, none):
+    items = [tuple(r) for r in benchmark.collect()]
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontamination.contaminated(odd, benchmark).collect())
+    assert got == Counter((r.doc_id, *brute_windows(r.text, items)) for r in odd.collect())
+    kept = decontamination.uncontaminated(odd, benchmark)
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in odd.collect() if not brute_windows(r.text, items)[1])
+    assert decontamination.contaminated(none, benchmark).collect() == []
+    assert decontamination.contaminated(odd, benchmark.limit(0)).where("n_hit > 0").collect() == []
+
+
+# ---- 7 ----
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            x = m.group()
+            d = [int(y) for y in re.sub("[^0-9]", "", x)] if name in ("card", "phone") else []
+            luhn = sum(v if i % 2 == 0 else (2 * v - 9 * (v > 4)) for i, v in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": name != "ip" or all(int(y) <= 255 for y in x.split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[name]:
+                out.append((m.start(), k, m.end(), name))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("table", ["odd", "docs", "mixed"])
+def test_personal_data(request, spark, table, tmp_path):
+    if table == "mixed":
+        rng = np.random.default_rng(3)
+        bits = ["a@b.c", "x", "+1 (234) 555-6789", "4111 1111 1111 1111", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "é", "😀", "@", " ", ".", "-", "a@b.c@d.e", "_x@d.e.f", "12345678901234567890123", "+", "0", "004.1.2.3", "+12345678901", "deadbeef" * 5, "joe [at] mail [dot] com", "Dr. Anna Kerr", "\n"]
+        df = spark.createDataFrame([(i, "".join(rng.choice(bits, rng.integers(0, 12)))) for i in range(500)] + [(900, "1" * 20_000), (901, "1 " * 10_000), (902, "a.b" * 5_000)], "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(table)
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for r in df.collect():
+        b = brute_spans(r.text)
+        n = Counter(x[3] for x in b)
+        want[(r.doc_id, *(n[k] for k in BASE), hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, e, k in b).encode()).hexdigest())] += 1
+    rows = pii.op7(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == want
+    for r in rows:  # base spans stay among all spans
+        assert r.spans.count("email:") - r.spans.count("spelled_email:") == r.n_email
+
+
+def test_reliabilities_find_the_better_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(5000) < 0.6
+    good, poor = (np.where(rng.random(5000) < p, np.where(truth, 1, -1), np.where(truth, -1, 1)) for p in (0.95, 0.6))
+    votes = np.stack([good, poor, np.where(rng.random(5000) < 0.85, np.where(truth, 1, -1), np.where(truth, -1, 1)), np.zeros(5000, int)], axis=1)
+    kinds = np.zeros(5000, int)
+    q, theta = pii.fit_reliabilities(kinds, votes, np.ones(5000))
+    assert theta[0][1][2] > theta[2][1][2] > theta[1][1][2]
+    assert ((q > 0.5) == truth).mean() > 0.93
+    w = pii.fit_classifier(kinds, votes, np.ones(5000), q)
+    assert ((pii._features(kinds, votes) @ w > 0) == truth).mean() > 0.93
+
+
+def test_personal_data_of_nothing(none):
+    assert pii.personal_data(none).collect() == []
+
+
+# ---- 8 ----
+
+
+def test_license_scan_matches_sql(spark):
+    df = license_scan.op8(spark, DATA)
+    assert difference(df.collect(), df.columns, connection(), license_scan.OP8_SQL) == ([], [])
+
+
+def test_license_scan_on_odd_rows(odd, none):
+    def brute(text):
+        w = words_of(text)
+        at = [(s, label) for phrase, label in license_scan.PHRASES.items() for s in range(len(w)) if w[s : s + len(phrase.split())] == phrase.split()]
+        return len(w), len(at), min((s for s, _ in at), default=None), max((s for s, _ in at), default=None), ",".join(sorted({b for _, b in at}))
+
+    rows = license_scan.scan_licenses(odd).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == Counter((r.doc_id, *brute(r.text)) for r in odd.collect())
+    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in rows)
+    assert license_scan.scan_licenses(none).collect() == []
+
+
+def test_license_scan_survives_edits(spark):
+    text = "intro words permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files end"
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == "mit" and r.n_base == 0 and r.score > 0.6
+
+
+# ---- 9 ----
+
+
+def brute_counts(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    tri = Counter(zip(w, w[1:], w[2:], strict=False))
+    hit = {i + k for i in range(len(w) - 2) if tri[(w[i], w[i + 1], w[i + 2])] > 1 for k in range(3)}
+    n, r = len(w), len(hit)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, r, n < 50 or 100 * r > 50 * n
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_quality_rules(request, spark, table, tmp_path):
+    df = request.getfixturevalue(table)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = quality_rules.op9(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == Counter((r.doc_id, *brute_counts(r.text)) for r in df.collect())
+    assert not any(r.kept and r.base_failed for r in rows)
+    kept = quality_rules.quality_filter(df)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
+
+
+def test_quality_rules_of_nothing(none):
+    assert quality_rules.quality_filter(none).collect() == []
+
+
+def test_kneser_ney_is_a_distribution():
+    text = np.frombuffer(b"abracadabra abracadabra, the cat sat on the mat; a rat ran at the cat." * 3, np.uint8)
+    keys = quality_rules.grams(text, np.array([0, len(text)]))
+    model = [(k.astype(np.uint32), np.log(p), np.log(np.maximum(w, 1e-12))) for k, p, w in quality_rules.fit(*np.unique(keys, return_counts=True))]
+    for history in (keys[30] >> 6, keys[5] >> 6, np.uint32(63 * 64 * 64 + 5)):  # seen and unseen ones
+        every = (np.uint32(history) << np.uint32(6) | np.arange(64, dtype=np.uint32)) & np.uint32((1 << 24) - 1)
+        assert abs(np.exp(quality_rules.log_probabilities(model, every)).sum() - 1) < 1e-3
+
+
+# ---- 10 ----
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        lengths = rng.choice([0, 1, 5, 59, 60, 61, 4095, 4096, 4097, 9000], 5)
+        ids = rng.integers(0, 1 << 59, int(lengths.sum()), dtype=np.uint64) >> rng.integers(0, 59, int(lengths.sum())).astype(np.uint64)
+        words, n_words, _ = token_output.pack(ids, lengths)
+        sizes = np.concatenate([np.minimum(4096, n - 4096 * np.arange(-(-n // 4096))) for n in lengths]).astype(np.int64)
+        assert (token_output.unpack(words, n_words, sizes) == ids).all()
+    with pytest.raises(ValueError):
+        token_output.pack(np.array([1 << 60], np.uint64), np.array([1]))
+
+
+def test_pieces_encode_as_whole_texts():
+    e = token_output.encoder("byte_bpe_50k.json")
+    rng = np.random.default_rng(1)
+    letters = [*"ab '\n\t  .,1é5ñ日   \x1c$!", "<|endoftext|>", "'ll", " ", "\x02", "\r\n"]
+    for _ in range(3000):
+        s = "".join(rng.choice(letters, rng.integers(0, 14)))
+        assert e([s])[0].tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_token_output(request, table):
+    df = request.getfixturevalue(table)
+    t = token_output.encoder("byte_bpe_50k.json").tokenizer
+    want, at = [], 0
+    for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert Counter(map(tuple, token_output.token_output(df).collect())) == Counter(want)
+
+
+def test_token_output_of_nothing(none):
+    assert token_output.token_output(none).collect() == []
+
+
+# ---- the pipeline ----
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    have = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        have = stage(spark, have, DATA)
+        assert have.columns == docs.columns, name
+    assert corpus_pipeline.run(spark, DATA).count() == have.count() > 0

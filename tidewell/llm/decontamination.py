@@ -62,17 +62,19 @@ def scanned(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int
     def use(part):
         text = docs.select(*carry, word_array(F.col("text")).alias("words"))
         placed = text.select(*carry, "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("p", "word"))
-        n = F.size("words")
+        first = F.greatest(F.col("p") - window + 1, F.lit(0))
+        # only the words near a match leave the join: rows with whole texts would grow with the square of a text's length
+        near = placed.join(part, "word").select(*carry, F.size("words").cast("long").alias("n_words"), "item_id", "q", "size", "low", "around", "starts", "p", first.alias("first"), F.slice("words", first + 1, F.lit(2 * window)).alias("near"))
         at = lambda s: F.col("p") - F.col("q") + s
-        fits = lambda s: (at(s) >= 0) & (at(s) + F.col("size") <= n)
-        equal = lambda s: F.when(fits(s), F.slice("words", at(s) + 1, F.col("size")) == F.slice("around", s - F.col("low") + 1, F.col("size"))).otherwise(False)
+        fits = lambda s: (at(s) >= 0) & (at(s) + F.col("size") <= F.col("n_words"))
+        equal = lambda s: F.when(fits(s), F.slice("near", at(s) - F.col("first") + 1, F.col("size")) == F.slice("around", s - F.col("low") + 1, F.col("size"))).otherwise(False)
         hits = F.transform(F.filter("starts", equal), lambda s: F.struct(at(s).alias("a"), (at(s) + F.col("size")).alias("b")))
         # unverified matches stay, with no hits: a filter on hits would move into the join and stop its code generation
-        return placed.join(part, "word").select(*carry, n.cast("long").alias("n_words"), "item_id", hits.alias("hits"))
+        return near.select(*carry, "n_words", "item_id", hits.alias("hits"))
 
     held = staged(table, "prefixes")
     found = _per_block(held.unionByName(end), use)
-    group = found.groupBy(*carry).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("spans"), F.array_sort(F.collect_set(F.when(F.size("hits") > 0, F.col("item_id")))).alias("items"))
+    group = found.groupBy(*carry).agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("spans"), F.array_sort(F.collect_set(F.when(F.size("hits") > 0, F.col("item_id")))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto"))
     return group.select(*carry, "n_words", F.aggregate("spans", start, step)["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
