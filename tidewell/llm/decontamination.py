@@ -66,7 +66,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int
         # only the words near a match leave the join: rows with whole texts would grow with the square of a text's length
         near = placed.join(part, "word").select(*carry, F.size("words").cast("long").alias("n_words"), "item_id", "q", "size", "low", "around", "starts", "p", first.alias("first"), F.slice("words", first + 1, F.lit(2 * window)).alias("near"))
         at = lambda s: F.col("p") - F.col("q") + s
-        fits = lambda s: (at(s) >= 0) & (at(s) + F.col("size") <= F.col("n_words"))
+        # a second use of `near` keeps the optimiser from moving its making, and the whole texts with it, up into the lambda
+        fits = lambda s: (at(s) >= 0) & (at(s) + F.col("size") <= F.col("n_words")) & (F.size("near") > 0)
         equal = lambda s: F.when(fits(s), F.slice("near", at(s) - F.col("first") + 1, F.col("size")) == F.slice("around", s - F.col("low") + 1, F.col("size"))).otherwise(False)
         hits = F.transform(F.filter("starts", equal), lambda s: F.struct(at(s).alias("a"), (at(s) + F.col("size")).alias("b")))
         # unverified matches stay, with no hits: a filter on hits would move into the join and stop its code generation
