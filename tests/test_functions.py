@@ -84,3 +84,12 @@ def test_gazetteer(spark):
     assert got["Sault Ste. Marie, ON"].city == "Sault Ste. Marie" and got["Greater Torontonia"].city == "Toronto"
     assert got["Paris"].city is None and not got["Paris"].isCanada and got["On-site, New York"].isOntario
     assert got["remote (USA)"].country == "United States" and got["remote (USA)"].isRemote
+
+
+def test_board_ages(spark):
+    got = run(spark, ["Posted 30+ Days Ago", "Posted Today", "Posted Yesterday", "2024-01-02", "soon"], lambda x: F.to_date(dates.parse_age(x, NOW)))
+    assert [None if g is None else g.isoformat() for g in got] == ["2024-05-02", "2024-06-01", "2024-05-31", "2024-01-02", None]
+
+
+def test_initials(spark):
+    assert run(spark, ["The Acme Paper Co.", "x", ""], text.initials) == ["AP", "X", ""]

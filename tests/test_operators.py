@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import rules
-from tidewell.operators import dedupe, facets, filters, merge, search
+from tidewell.operators import dedupe, facets, filters, merge, search, views
 from tidewell.plans import normalize as plan
 from tidewell.schema import LISTING, RAW
 from tidewell.sources import snapshots
@@ -120,3 +120,13 @@ def test_snapshots(spark, tmp_path, listings):
     assert snapshots.read_first(spark, [str(tmp_path / "none"), f"{tmp_path}/run=1/full"], LISTING).count() == rows.count()
     assert snapshots.read_first(spark, [str(tmp_path / "none")], LISTING).count() == 0
     assert snapshots.client_projection(rows).where("descriptionHtml is not null or length(description) > 1200").count() == 0
+
+
+def test_views(listings):
+    rows = plan.accepted(listings)
+    cards = {r.title: r for r in views.card(rows, NOW).collect()}
+    top = cards["Senior Data Engineer"]
+    assert top.pay == "$100,000 – $120,000/yr" and top.age == "2 days ago" and top.place == "Toronto, ON" and top.technologies == ["Spark"]
+    one = rows.first().id
+    assert [r.id for r in views.detail(rows, one, NOW).collect()] == [one]
+    assert views.health(rows).first().open == rows.count()

@@ -60,6 +60,14 @@ def parse_date(x: Column, now: datetime) -> Column:
     )
 
 
+def parse_age(x: Column, now: datetime) -> Column:
+    """Ages as boards state them ('Posted 30+ Days Ago', 'today', 'yesterday'), else as any date."""
+    pattern = r"(?i)(\d+)\+?\s*(day|month|hour)s?\s+ago"
+    unit = F.try_element_at(F.create_map(*(F.lit(v) for k, u in UNITS.items() for v in (k, u))), F.lower(F.regexp_extract(x, pattern, 2)))
+    back = lambda seconds: F.timestamp_micros(micros(instant(now)) - seconds.cast("long") * 1_000_000)
+    return F.when(x.rlike(pattern), back(F.regexp_extract(x, pattern, 1).try_cast("long") * unit)).when(x.rlike(r"(?i)\btoday\b"), instant(now)).when(x.rlike(r"(?i)\byesterday\b"), back(F.lit(86400))).otherwise(parse_date(x, now))
+
+
 def days_since(t: Column, now: datetime) -> Column:
     return F.floor((micros(instant(now)) - micros(t)) / DAY)
 

@@ -204,6 +204,12 @@ def haystack(parts: list[Column]) -> Column:
     return F.lower(F.concat_ws(" \n ", *(F.coalesce(p, F.lit("")) for p in parts)))
 
 
+def initials(x: Column, legal: str = "inc|ltd|llc|corp|co|the") -> Column:
+    """First letters of the first two words that say something."""
+    own = F.filter(F.split(squeezed(x), " "), lambda w: ~F.regexp_replace(F.lower(w), "[^a-z]", "").isin(legal.split("|")) & (w != ""))
+    return F.upper(F.array_join(F.transform(F.slice(own, 1, 2), lambda w: F.substring(w, 1, 1)), ""))
+
+
 def tint(x: Column, tints: int = 6) -> Column:
     """A stable colour number from 32-bit overflowing arithmetic over the characters."""
     wrap = lambda v: F.pmod(v + 2**31, F.lit(2**32)) - 2**31
