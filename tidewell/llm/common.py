@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a lookup table is broadcast; larger ones go through a shuffled join.
 BROADCAST_ROWS = 20_000
 #: Bytes of text that one numpy chunk holds (a longer single text makes a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Words as the contamination and license scans take them: runs of 0-9, a-z and non-ASCII (after A-Z is lowered).
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -15,7 +15,6 @@ Defined cases: null text counts as empty (one end id); equal doc_ids are ordered
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from itertools import chain, islice
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import chunks, shared_dir, span_hashes
 
 BLOCK = 4096
 END_ID = 0
@@ -102,22 +101,19 @@ def unpack(words: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> np.nd
 class Numbered(dict):
     """Numbers keys as they are first asked for."""
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: bytes) -> int:
         self[key] = i = len(self)
         return i
 
 
 class Encoder:
-    """Encodes whole texts; what stands between two spaces is encoded once and remembered.
+    """Encodes whole texts by their pieces, each of which is encoded once and remembered.
 
     White space never ends a pre-token of a byte-level BPE that began with something else, so every run of white space starts a new
-    pre-token and the pieces of text.split(" ") can be encoded apart. Texts where a piece would cut a run of white space go whole.
+    pre-token. Texts are cut where such a run begins with an ASCII character, and equal pieces of a chunk are found by their hashes.
     """
 
-    CACHE = 1_500_000
-    WHOLE = re.compile(r"[^\S ] {2}|[\x00-\x02\x1c-\x1f]| [^\S ] ")
-    PIECES = re.compile(r" *[^ ]+| +")
-    LINES = re.compile(r"\s\n|\n[^\S ]|\n\Z|\A\n")
+    CACHE = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,10 +127,9 @@ class Encoder:
         self.begin, self.length, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, pieces: list[str]) -> None:
-        texts = [" " + x if x[:1] not in ("\0", "\1", "\2") else "\n" * (x[0] == "\2") + x[1:] for x in pieces]
-        for at in range(0, len(texts), 20_000):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+    def learn(self, pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), 20_000):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces[at : at + 20_000]], add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             joined = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
             while self.n + len(ids) > len(self.begin):
@@ -146,34 +141,44 @@ class Encoder:
             self.flat[self.used : self.used + len(joined)] = joined
             self.n, self.used = self.n + len(ids), self.used + len(joined)
 
-    def pieces(self, text: str) -> list[str]:
-        if self.WHOLE.search(text):
-            return ["\1" + text]
-        if "  " in text or text[:1] == " ":
-            return [x[1:] if x[0] == " " and x[1:2] not in ("", " ") else "\0" + x for x in self.PIECES.findall(text)]
-        if "\n" in text and not self.LINES.search(text):  # a single line break between words starts a piece as well
-            text = text.replace("\n", " \2")
-        found = text.split(" ")
-        found[0] = "\0" + found[0]
-        return found
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts without end ids, ids of each text)."""
+    @staticmethod
+    def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces: texts, cut before white space that follows something else."""
+        cut = np.zeros(len(data) + 1, bool)
+        p1 = data[:-1]
+        p2, p3 = (np.concatenate([np.zeros(k, np.uint8), p1])[: len(p1)] for k in (1, 2))
+        # what may end a Unicode space stays with what follows
+        odd = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & ((p2 == 0x80) | (p2 == 0x81) | (p2 == 0x9A) | (p2 == 0xA0)))
+        solid = ((p1 > 0x20) & (p1 < 0x7F)) | ((p1 >= 0x80) & ~odd)
+        cut[1:-1] = ((data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13))) & solid
+        cut[offsets] = True
+        starts = np.flatnonzero(cut[:-1])
+        return starts, np.append(starts[1:], len(data))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts without end ids, ids of each text) of the UTF-8 bytes between offsets."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         if len(self.known) > self.CACHE:
             self.clear()
-        every, sizes = [], []
-        for text in texts:
-            found = self.pieces(text) if text else []
-            every += found
-            sizes.append(len(found))
-        where = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        starts, ends = self.pieces(data, offsets)
+        _, first, same = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = np.ndarray(len(data), np.uint64, raw + bytes(8), strides=(1,))
+        for at in (starts, np.maximum(ends - 8, starts)):  # equal hashes: the first and last bytes are equal too, unless a hash failed
+            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(ends - at, 8).astype(np.uint64)))
+            if ((words[at] & mask) != (words[at] & mask)[first][same]).any():
+                first, same = np.arange(len(starts)), np.arange(len(starts))
+                break
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        where = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         if len(self.known) > self.n:
             self.learn(list(islice(reversed(self.known), len(self.known) - self.n))[::-1])
+        where = where[same]
         lengths = self.length[where]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.begin[where] - ends[:-1], lengths) + np.arange(ends[-1])]
-        bounds = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
-        return ids, np.diff(bounds)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.repeat(self.begin[where] - bounds[:-1], lengths) + np.arange(bounds[-1])]
+        return ids, np.diff(bounds[np.searchsorted(starts, offsets)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -206,9 +211,9 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     def run(batches):
         part, seq, before, encode = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in _slices(np.array([len(x) + 64 for x in texts], np.int64), 1 << 20):
-                ids, n = encode(texts[a:b])
+            for a, data, offsets in chunks(batch.column("text")):
+                b = a + len(offsets) - 1
+                ids, n = encode(data, offsets)
                 whole = np.full(len(ids) + len(n), end_id, np.uint64)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                 n = n + 1
