@@ -242,13 +242,12 @@ def raw_first_wins(t):
 
 
 @query("""
-WITH last AS (SELECT o_custkey, arg_max(struct_pack(id := o_orderkey, at := o_orderdate), o_orderkey) AS l FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey)
+WITH last AS (SELECT o_custkey, arg_max(struct_pack(id := o_orderkey, at := o_orderdate), o_orderkey) AS l FROM orders GROUP BY o_custkey)
 SELECT o.o_orderkey, coalesce(l.id <> o.o_orderkey AND epoch_us(o.o_orderdate) - epoch_us(l.at) > 21 * 86400000000, false) AS is_repost, CASE WHEN l.id <> o.o_orderkey AND epoch_us(o.o_orderdate) - epoch_us(l.at) > 21 * 86400000000 THEN l.id END AS repost_of
-FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o LEFT JOIN last USING (o_custkey)
+FROM orders o LEFT JOIN last USING (o_custkey)
 """)
 def repost_flags(t):
-    o = t("orders")
-    return dedupe.mark_reposts(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 <> 0"), "o_custkey", "o_orderkey", "o_orderdate", "o_orderkey").select("o_orderkey", "is_repost", "repost_of")
+    return dedupe.mark_reposts(t("orders"), t("orders"), "o_custkey", "o_orderkey", "o_orderdate", "o_orderkey").select("o_orderkey", "is_repost", "repost_of")
 
 
 # ---- snapshots and stores ----
@@ -257,29 +256,30 @@ MERGED = datetime(2024, 6, 1)
 _TS = "TIMESTAMP '2024-06-01'"
 
 
-def _snapshot(t, where, seen, extra):
+def _snapshot(t, id_step, seen, extra):
+    """All documents as listings. With ids in steps, half of one snapshot's ids are in the other one."""
     at = F.lit("2024-06-01").cast("timestamp")
     ago = lambda days: F.timestamp_micros(F.unix_micros(at) - (days * 86_400_000_000).cast("bigint"))
-    return t("documents").where(where).select(
-        c("doc_id").cast("string").alias("id"), ago(c("doc_id") % 50 + extra).alias("firstSeenAt"), F.when(c("doc_id") % 41 != 0, ago(seen)).alias("lastSeenAt"), ago(c("doc_id") % 70).alias("postedAt"), (c("doc_id") % 11 == extra).alias("isExpired"), (c("doc_id") % 13 == extra).alias("isRepost"),
+    return t("documents").select(
+        (c("doc_id") * id_step).cast("string").alias("id"), ago(c("doc_id") % 50 + extra).alias("firstSeenAt"), F.when(c("doc_id") % 41 != 0, ago(seen)).alias("lastSeenAt"), ago(c("doc_id") % 70).alias("postedAt"), (c("doc_id") % 11 == extra).alias("isExpired"), (c("doc_id") % 13 == extra).alias("isRepost"),
         F.when(c("doc_id") % 13 == extra, F.concat(F.lit("r"), c("doc_id").cast("string"))).alias("repostOf"), c("n_chars"), c("doc_id").alias("_ord"),
     )
 
 
 def _previous(t):
-    return _snapshot(t, "doc_id % 3 <> 0", c("doc_id") % 30, 1)
+    return _snapshot(t, 1, c("doc_id") % 30, 1)
 
 
 def _current(t):
-    return _snapshot(t, "doc_id % 5 <> 1", F.lit(0).cast("bigint"), 0)
+    return _snapshot(t, 2, F.lit(0).cast("bigint"), 0)
 
 
-def _sql_snapshot(where, seen, extra):
+def _sql_snapshot(id_step, seen, extra):
     ago = lambda d: f"({_TS} - to_days(CAST({d} AS INT)))"
-    return f"(SELECT CAST(doc_id AS VARCHAR) AS id, {ago(f'doc_id % 50 + {extra}')} AS f, CASE WHEN doc_id % 41 <> 0 THEN {ago(seen)} END AS l, {ago('doc_id % 70')} AS p, doc_id % 11 = {extra} AS e, doc_id % 13 = {extra} AS r, CASE WHEN doc_id % 13 = {extra} THEN 'r' || doc_id END AS ro, n_chars AS n, doc_id AS o FROM documents WHERE {where})"
+    return f"(SELECT CAST(doc_id * {id_step} AS VARCHAR) AS id, {ago(f'doc_id % 50 + {extra}')} AS f, CASE WHEN doc_id % 41 <> 0 THEN {ago(seen)} END AS l, {ago('doc_id % 70')} AS p, doc_id % 11 = {extra} AS e, doc_id % 13 = {extra} AS r, CASE WHEN doc_id % 13 = {extra} THEN 'r' || doc_id END AS ro, n_chars AS n, doc_id AS o FROM documents)"
 
 
-_P, _C = _sql_snapshot("doc_id % 3 <> 0", "doc_id % 30", 1), _sql_snapshot("doc_id % 5 <> 1", "0", 0)
+_P, _C = _sql_snapshot(1, "doc_id % 30", 1), _sql_snapshot(2, "0", 0)
 _AGE = f"coalesce((epoch_us({_TS}) - epoch_us(p.l)) / 86400000000.0, 1e9)"
 _MERGED = f"""
 SELECT coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NOT NULL THEN coalesce(p.f, c.f) ELSE p.f END AS first_seen, CASE WHEN c.id IS NOT NULL THEN {_TS} ELSE p.l END AS last_seen, CASE WHEN c.id IS NOT NULL THEN c.e ELSE p.e OR {_AGE} > 3 END AS is_expired,
@@ -362,11 +362,11 @@ def client_projection(t):
     return short(t("documents").select("doc_id", c("text").alias("description"), c("text").alias("descriptionHtml"))).select("doc_id", "description")
 
 
-@query("SELECT 'https://example.org/listings/' || doc_id AS url, lang AS last_change FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0 ORDER BY doc_id LIMIT 5000)")
+@query("SELECT 'https://example.org/listings/' || doc_id AS url, lang AS last_change FROM (SELECT * FROM documents WHERE n_chars >= 300 ORDER BY doc_id LIMIT 5000)")
 def sitemap(t):
     from tidewell.sources import snapshots
 
-    rows = t("documents").select(c("doc_id").cast("string").alias("id"), (c("doc_id") % 7 == 0).alias("isExpired"), c("lang").alias("lastSeenAt"), c("doc_id").alias("_ord"))
+    rows = t("documents").select(c("doc_id").cast("string").alias("id"), (c("n_chars") < 300).alias("isExpired"), c("lang").alias("lastSeenAt"), c("doc_id").alias("_ord"))
     return snapshots.sitemap(rows, "https://example.org/listings/").select("url", c("lastSeenAt").alias("last_change"))
 
 
