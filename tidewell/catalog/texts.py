@@ -64,9 +64,9 @@ def title_clean_corpus(t):
     return corpus(t, [(i, x) for i, x, _ in _TITLES], "id int, raw string").select("id", text.normalize_title(c("raw")).alias("title"))
 
 
-@query("SELECT DISTINCT source, left(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '&', ' and ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug, doc_id FROM documents WHERE lang IN ('fr', 'es', 'en')")
+@query("SELECT DISTINCT source, left(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '&', ' and ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug, doc_id FROM documents")
 def slugify(t):
-    return t("documents").where(c("lang").isin("fr", "es", "en")).select("source", text.slugify(c("text")).alias("slug"), "doc_id")
+    return t("documents").select("source", text.slugify(c("text")).alias("slug"), "doc_id")
 
 
 @query("SELECT s_suppkey, regexp_replace(regexp_replace(lower(s_name || ' Corp Inc. Canada'), '[^a-z0-9]+', '-', 'g'), '-corp-inc-canada$', '') AS key FROM supplier")
