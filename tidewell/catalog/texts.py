@@ -93,11 +93,11 @@ def keywords_top(t):
 
 
 @query("""
-WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')[1:400]) AS a, list_distinct(regexp_extract_all(lower(lang || ' ' || source || ' ' || left(text, 400)), '[a-z0-9]{4,}')[1:400]) AS b FROM documents)
+WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')[1:400]) AS a, list_distinct(regexp_extract_all(lower(lang || ' ' || source || ' ' || text), '[a-z0-9]{4,}')[1:400]) AS b FROM documents)
 SELECT doc_id, CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END AS similarity FROM p
 """)
 def overlap_similarity(t):
-    return t("documents").select("doc_id", text.overlap_similarity(c("text"), F.concat_ws(" ", "lang", "source", F.substring("text", 1, 400))).alias("similarity"))
+    return t("documents").select("doc_id", text.overlap_similarity(c("text"), F.concat_ws(" ", "lang", "source", "text")).alias("similarity"))
 
 
 @query("SELECT o_orderkey, o_orderdate AS a, date_trunc('day', o_orderdate) AS b, date_trunc('day', o_orderdate) AS c, TIMESTAMP '2024-06-01' - to_days(CAST(o_orderkey % 30 AS INT)) AS d FROM orders")
