@@ -228,6 +228,17 @@ def test_one_of_each_stays(odd, none, docs):
     assert ngram_join.first_of_each(docs).count() == len({c for _, c, _ in brute_pairs(docs.collect())})
 
 
+def test_one_of_each_stays_where_ids_are_null_or_repeat(spark):
+    a, b, c, d, e, f, g, h = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcdefgh")
+    near = b.replace("b30", "other")
+    rows = [(3, b), (7, a), (7, near), (None, c), (None, d), (None, d), (None, near), (None, ""), (None, None), (8, e), (8, f), (9, g), (9, g.upper()), (9, ""), (10, g), (11, h), (11, h), (5, h)]
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, root string").repartition(3)
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in ngram_join.first_of_each(df).collect())
+    assert got == Counter([(3, b), (7, a), (None, c), (None, d), (None, ""), (None, ""), (8, e), (8, f), (9, g), (9, ""), (5, h)])
+    nobody = ngram_join.first_of_each(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert Counter((r.text or "").lower().replace("other", "b30") for r in nobody) == Counter([a, b, c, d, e, f, g, h, "", "", ""])
+
+
 # ---- 6 ----
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, fresh, mixed, runs, span_hashes, staged
 
@@ -330,8 +331,8 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_runs: int = RUNS) -> DataFrame:
-    """doc_id, node, class_id, n_links for each row of docs. class_id: the least doc_id of the documents that links connect; n_links: other documents at least `threshold` similar, copies included."""
+def _classified(docs: DataFrame, threshold: float, n_runs: int) -> DataFrame:
+    """What near_duplicates returns, and root: the node that names the class (null without shingles)."""
     all_rows = staged(sketches(docs), "sketches")
     nodes = staged(all_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
     groups = components(candidates(nodes.select("node", "sig"), n_runs))
@@ -351,26 +352,60 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_runs: int =
     roots = components(found.where("b is not null").select("a", "b"))
     of_node = staged(nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "node-classes")
     least = of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_node = of_node.join(least, "root").select("node", "class_id", "n_links")
+    by_node = of_node.join(least, "root").select("node", "root", "class_id", "n_links")
     out = all_rows.select("doc_id", "node").join(by_node, "node", "left")
-    return out.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_runs: int = RUNS) -> DataFrame:
+    """doc_id, node, class_id, n_links for each row of docs. class_id: the least doc_id of the documents that links connect; n_links: other documents at least `threshold` similar, copies included."""
+    return _classified(docs, threshold, n_runs).drop("root")
+
+
+def _with_nodes(docs: DataFrame, column: str) -> DataFrame:
+    """docs and the node of each row, in `column`."""
+    text = fresh("text_in", [*docs.columns, column])
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for _, data, offsets in chunks(batch.column(batch.num_columns - 1)):
+                value, bounds = shingles(data, offsets)
+                parts.append(pa.array(set_hash(value, bounds), mask=np.diff(bounds) == 0))
+            if parts:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(parts)], names=[*batch.schema.names[:-1], column])
+
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if len(table.limit(ACTIVE_ROWS + 1).select(F.lit(1)).collect()) <= ACTIVE_ROWS else table
 
 
 def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs for each class of near copies, that of its least doc_id, with its own columns; rows without words stay."""
-    found = staged(near_duplicates(docs, threshold), "classes")
-    out_id = fresh("drop_id", docs.columns)
-    extra = found.where("node is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias(out_id)).distinct()
-    again = staged(found.where("node is not null and doc_id <=> class_id").groupBy("doc_id", "class_id").count().where("count > 1").select(F.col("doc_id").alias(out_id)), "again")
-    extra = staged(extra, "dropped")
-    if len(extra.limit(ACTIVE_ROWS + 1).select(F.lit(1)).collect()) <= ACTIVE_ROWS:
-        extra = F.broadcast(extra)
-    kept = docs.join(extra, F.col("doc_id").cast("long").eqNullSafe(F.col(out_id)), "left_anti")
-    if not again.limit(1).collect():
+    """One row of docs for each class of near copies, that of its least doc_id (null ids come last) and then node, with its own columns; rows without words stay.
+
+    An id that one row has decides by itself; rows without an id, and those of an id that several rows have, are told apart by their nodes.
+    """
+    found = staged(_classified(docs, threshold, RUNS), "classes")
+    own_id, first_id, node, first_node = (fresh(x, docs.columns) for x in ("own_id", "first_id", "own_node", "first_node"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
+    firsts = staged(found.where("node is not null").groupBy("root").agg(least.alias("first")).select("first.doc_id", "first.node"), "firsts")
+    ids = staged(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node")), "ids")
+    dropped = ids.where("n = 1 and node is not null").join(firsts, ["doc_id", "node"], "left_anti")
+    marks = staged(dropped.unionByName(ids.where("n > 1").select("doc_id", "node", "n")).select(F.col("doc_id").alias(own_id), (F.col("n") > 1).alias("several")), "marks")
+    numbered = docs.where(F.col("doc_id").cast("long").isNotNull())
+    same = F.col("doc_id").cast("long") == F.col(own_id)
+    kept = numbered.join(_small(marks.select(own_id)), same, "left_anti")
+    several = marks.where("several").select(own_id)
+    if not several.limit(1).collect() and not found.where("doc_id is null").limit(1).collect():
         return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(out_id))
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, same, "left_anti").unionByName(once)
+    unclear = docs.where(F.col("doc_id").cast("long").isNull()).unionByName(numbered.join(_small(several), same, "left_semi"))
+    rows = staged(_with_nodes(unclear, node), "unclear")
+    once = rows.where(F.col(node).isNotNull()).withColumn(own_id, F.col("doc_id").cast("long")).dropDuplicates([own_id, node])
+    chosen = _small(firsts.select(F.col("doc_id").alias(first_id), F.col("node").alias(first_node)))
+    ours = once.join(chosen, F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(node) == F.col(first_node)), "left_semi")
+    return kept.unionByName(rows.where(F.col(node).isNull()).select(*docs.columns)).unionByName(ours.select(*docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
