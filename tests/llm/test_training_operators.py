@@ -380,6 +380,19 @@ def test_quality_rules(request, spark, table, tmp_path):
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
 
 
+def test_copies_do_not_move_the_band(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(words[x] for x in rng.integers(0, 40 + 3 * i, 150)), "fr") for i in range(120)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    heavy = plain.unionByName(spark.createDataFrame([(1000 + i, rows[60][1], "fr") for i in range(400)], plain.schema)).repartition(5)
+    counts = [{(r.lang, r.gram): r.n for r in quality_rules.count_grams(df).collect()} for df in (plain, heavy)]
+    assert counts[0] == counts[1]
+    want = {r.doc_id for r in quality_rules.quality_filter(plain).collect()}
+    got = [r.doc_id for r in quality_rules.quality_filter(heavy).collect()]
+    assert len(want) > 110 and {i for i in got if i < 1000} == want and sum(i >= 1000 for i in got) == 400
+
+
 def test_quality_rules_of_nothing(none):
     assert quality_rules.quality_filter(none).collect() == []
 
