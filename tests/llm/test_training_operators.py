@@ -117,6 +117,13 @@ def test_lm_probabilities_sum_to_one():
     assert lm_scoring.contexts(np.array([1, 2, 3, 4]), np.array([0, 3, 4]), np.arange(4), 2).tolist() == [[0, 0, 2, 3], [0, 1, 3, 0], [1, 2, 0, 0], [0, 0, 0, 0]]
 
 
+def test_lm_training_predicts_every_token_once():
+    ids = np.random.default_rng(0).integers(0, 256, 5000).astype(np.int32)
+    for rounds, mask in ((lm_scoring.ROUNDS, lm_scoring.MASK), (3, 7)):
+        found = [p for turn in range(rounds) for part in lm_scoring.targets(ids, np.array([0, 1200, 1200, 5000]), turn, rounds, mask) for p in part.tolist()]
+        assert sorted(found) == list(range(5000))
+
+
 # ---- 3 ----
 
 
