@@ -438,6 +438,26 @@ def test_pieces_encode_as_whole_texts():
         assert e(raw, np.array([0, len(raw)]))[0].tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
 
 
+def test_pieces_encode_as_lines():
+    e = token_output.Encoder(token_output.encoder("byte_bpe_50k.json").path)
+    rng = np.random.default_rng(5)
+    letters = [*"abcXY.,1'é$!<|>-", "<|endoftext|>", "'ll", "\u00a1", "ñ", " ", "\n"]
+    pieces = sorted({rng.choice(["", " "]) + "".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(6000)})
+    e.learn([x.encode() for x in pieces])
+    for i, x in enumerate(pieces):
+        assert e.flat[e.begin[i] : e.begin[i] + e.length[i]].tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_encoder_outgrows_its_table_and_forgets(monkeypatch):
+    monkeypatch.setattr(token_output.Encoder, "SLOTS", 64)
+    monkeypatch.setattr(token_output.Encoder, "CACHE", 500)
+    e = token_output.Encoder(token_output.encoder("byte_bpe_50k.json").path)
+    for turn in range(4):
+        text = " ".join(f"w{i}" for i in range(turn * 100, 700 + turn * 100)).encode()
+        assert e(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        assert 2 * e.n <= len(e.table)
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_token_output(request, table):
     df = request.getfixturevalue(table)

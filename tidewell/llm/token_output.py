@@ -15,9 +15,10 @@ Defined cases: null text counts as empty (one end id); equal doc_ids are ordered
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ END_ID = 0
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([c for c, _ in LAYOUTS], np.int64)
 PAD = 60
+#: Pieces that can be encoded as lines of one text: letters or digits of any ASCII kind and marks, after one space at most.
+PLAIN = re.compile(r"\x20?[!-~\u00a1-\u024f]+").fullmatch
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,59 +101,114 @@ def unpack(words: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> np.nd
     return out[keep]
 
 
-class Numbered(dict):
-    """Numbers keys as they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = i = len(self)
-        return i
+#: ASCII white space; letters and digits; marks that end a run of them (the bar stands inside special tokens).
+_SPACE, _ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_ALNUM[33:127]
+_MARK[ord("|")] = False
 
 
 class Encoder:
     """Encodes whole texts by their pieces, each of which is encoded once and remembered.
 
     White space never ends a pre-token of a byte-level BPE that began with something else, so every run of white space starts a new
-    pre-token. Texts are cut where such a run begins with an ASCII character, and equal pieces of a chunk are found by their hashes.
+    pre-token; so does a mark that follows a letter or digit. Texts are cut at both, where they begin with an ASCII character, and equal
+    pieces of a chunk are found by their hashes.
     """
 
-    CACHE = 600_000
+    #: Pieces that are remembered: some 50 bytes each. Slots of the hash table that finds them.
+    CACHE, SLOTS = 1_500_000, 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbered()
-        self.begin, self.length, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.table = np.zeros(self.SLOTS, np.int32)  # a piece's number plus 1, by open addressing; at most half full
+        self.hash, self.tag = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.begin, self.length, self.n = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def find(self, hashes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes and tags, -1 for those that aren't known."""
+        out, left = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        slot = (hashes % np.uint64(len(self.table))).astype(np.int64)
+        while len(left):
+            number = self.table[slot] - 1
+            same = (self.hash[number] == hashes[left]) & (self.tag[number] == tags[left]) & (number >= 0)
+            out[left[same]] = number[same]
+            go = ~same & (number >= 0)
+            left, slot = left[go], (slot[go] + 1) % len(self.table)
+        return out
+
+    def enter(self, hashes: np.ndarray, tags: np.ndarray, numbers: np.ndarray) -> None:
+        """Notes new pieces, all different, in the table; their numbers are the last ones."""
+        self.hash[numbers], self.tag[numbers] = hashes, tags
+        if 2 * self.n > len(self.table):  # one text can hold more pieces than all before
+            self.table = np.zeros(2 * len(self.table), np.int32)
+            return self.enter(self.hash[: self.n].copy(), self.tag[: self.n].copy(), np.arange(self.n))
+        slot = (hashes % np.uint64(len(self.table))).astype(np.int64)
+        while len(numbers):
+            free = np.flatnonzero(self.table[slot] == 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.table[taken] = numbers[free[first]] + 1
+            stay = np.ones(len(numbers), bool)
+            stay[free[first]] = False
+            numbers, slot = numbers[stay], (slot[stay] + 1) % len(self.table)
+
+    def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids of each), encoded one by one."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same by one text that holds the pieces as lines, or None if the line ends can't be told from the pieces' own ids.
+
+        A line end between pieces of `PLAIN` form is a pre-token and an id of its own, so the ids between two of them are a piece's.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.line)
+        if len(at) != len(pieces) - 1:
+            return None
+        return ids[ids != self.line], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
     def learn(self, pieces: list[bytes]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces[at : at + 20_000]], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            joined = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-            while self.n + len(ids) > len(self.begin):
-                self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-            while self.used + len(joined) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.begin[self.n : self.n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-            self.length[self.n : self.n + len(ids)] = lengths
-            self.flat[self.used : self.used + len(joined)] = joined
-            self.n, self.used = self.n + len(ids), self.used + len(joined)
+        """Encodes pieces and numbers them from n on."""
+        texts = [x.decode() for x in pieces]
+        plain = np.fromiter((PLAIN(x) is not None for x in texts), bool, len(texts)) if self.line is not None else np.zeros(len(texts), bool)
+        while self.n + len(texts) > len(self.begin):
+            for name in ("begin", "length", "hash", "tag"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        for own, as_lines in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
+            for at in range(0, len(own), 2000):
+                where = own[at : at + 2000]
+                part = [texts[i] for i in where.tolist()]
+                joined, lengths = (self.lines(part) if as_lines else None) or self.each(part)
+                while self.used + len(joined) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.begin[self.n + where] = self.used + np.cumsum(lengths) - lengths
+                self.length[self.n + where] = lengths
+                self.flat[self.used : self.used + len(joined)] = joined
+                self.used += len(joined)
+        self.n += len(texts)
 
     @staticmethod
     def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces: texts, cut before white space that follows something else."""
+        """Starts and ends of the pieces: texts, cut before white space that follows something else, and before a mark that follows a letter or digit."""
         cut = np.zeros(len(data) + 1, bool)
         p1 = data[:-1]
         p2, p3 = (np.concatenate([np.zeros(k, np.uint8), p1])[: len(p1)] for k in (1, 2))
         # what may end a Unicode space stays with what follows
         odd = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & ((p2 == 0x80) | (p2 == 0x81) | (p2 == 0x9A) | (p2 == 0xA0)))
         solid = ((p1 > 0x20) & (p1 < 0x7F)) | ((p1 >= 0x80) & ~odd)
-        cut[1:-1] = ((data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13))) & solid
+        cut[1:-1] = (_SPACE[data[1:]] & solid) | (_MARK[data[1:]] & _ALNUM[p1])
         cut[offsets] = True
         starts = np.flatnonzero(cut[:-1])
         return starts, np.append(starts[1:], len(data))
@@ -159,23 +217,27 @@ class Encoder:
         """(ids of all texts without end ids, ids of each text) of the UTF-8 bytes between offsets."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        if len(self.known) > self.CACHE:
+        if self.n > self.CACHE:
             self.clear()
         starts, ends = self.pieces(data, offsets)
-        _, first, same = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
+        hashes, tags, raw = span_hashes(data, starts, ends), np.zeros(len(starts), np.uint64), data.tobytes()
         words = np.ndarray(len(data), np.uint64, raw + bytes(8), strides=(1,))
-        for at in (starts, np.maximum(ends - 8, starts)):  # equal hashes: the first and last bytes are equal too, unless a hash failed
-            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(ends - at, 8).astype(np.uint64)))
-            if ((words[at] & mask) != (words[at] & mask)[first][same]).any():
-                first, same = np.arange(len(starts)), np.arange(len(starts))
-                break
-        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        where = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        if len(self.known) > self.n:
-            self.learn(list(islice(reversed(self.known), len(self.known) - self.n))[::-1])
-        where = where[same]
-        lengths = self.length[where]
+        with np.errstate(over="ignore"):
+            for at in (starts, np.maximum(ends - 8, starts)):  # the first and last bytes, in case a hash should fail
+                mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(ends - at, 8).astype(np.uint64)))
+                tags = tags * np.uint64(0x9E3779B97F4A7C15) + (words[at] & mask)
+        where = self.find(hashes, tags)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            order = new[np.lexsort((tags[new], hashes[new]))]
+            other = np.ones(len(order), bool)
+            other[1:] = (hashes[order][1:] != hashes[order][:-1]) | (tags[order][1:] != tags[order][:-1])
+            one = order[other]
+            number = self.n + np.arange(len(one))
+            self.learn([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            self.enter(hashes[one], tags[one], number)
+            where[order] = number[np.cumsum(other) - 1]
+        lengths = self.length[where].astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.begin[where] - bounds[:-1], lengths) + np.arange(bounds[-1])]
         return ids, np.diff(bounds[np.searchsorted(starts, offsets)])
