@@ -181,16 +181,15 @@ def fingerprint(title: Column, company: Column, city: Column, remote: Column) ->
 def keywords(x: Column, limit: int = 120) -> Column:
     """The most frequent tokens, ties by first place."""
     tokens = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9+#.\-]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) <= 30))
-    # sorting makes equal tokens neighbours, so counts don't need a pass for each token
+    # sorting makes equal tokens neighbours; a run begins where a token differs from the one before it
     placed = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    start = F.array().cast("array<struct<n:int,i:int,w:string>>")
 
-    def add(out: Column, t: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct((last["n"] - 1).alias("n"), last["i"].alias("i"), last["w"].alias("w"))))
-        return F.when(last["w"] == t["w"], grown).otherwise(F.concat(out, F.array(F.struct(F.lit(-1).alias("n"), t["i"].alias("i"), t["w"].alias("w")))))
+    def counted(p: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["w"] != F.get(p, k - 1)["w"]))
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda k, j: F.struct((k - F.coalesce(F.get(b, j + 1), F.size(p))).alias("n"), F.get(p, k)["i"].alias("i"), F.get(p, k)["w"].alias("w"))))[0]
 
-    return F.slice(F.transform(F.array_sort(F.aggregate(placed, start, add)), lambda s: s["w"]), 1, limit)
+    runs = F.transform(F.array(placed), lambda p: F.when(F.size(p) > 0, counted(p)).otherwise(F.array()))[0]
+    return F.slice(F.transform(F.array_sort(runs), lambda s: s["w"]), 1, limit)
 
 
 def overlap_similarity(a: Column, b: Column) -> Column:
