@@ -353,10 +353,42 @@ def test_license_scan_on_odd_rows(odd, none):
     assert license_scan.scan_licenses(none).collect() == []
 
 
-def test_license_scan_survives_edits(spark):
-    text = "intro words permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files end"
-    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.labels == "mit" and r.n_base == 0 and r.score > 0.6
+def brute_finds(text, templates, cover=license_scan.COVER, near=license_scan.NEAR):
+    """Labels of the templates of which some span of 2 * near + 1 neighbouring diagonals covers enough grams, and the fullest cover."""
+    w, labels, best = words_of(text), set(), 0.0
+    for label, template in templates:
+        tw = template.split()
+        g = min(license_scan.GRAM, len(tw))
+        votes = [(p - t, t) for p in range(len(w) - g + 1) for t in range(len(tw) - g + 1) if w[p : p + g] == tw[t : t + g]]
+        for d in {d for d, _ in votes}:
+            share = len({t for e, t in votes if abs(e - d) <= near}) / (len(tw) - g + 1)
+            best = max(best, share)
+            labels |= {label} if share >= cover else set()
+    return ",".join(sorted(labels)), round(best, 6)
+
+
+def test_license_spans_against_brute_force(spark):
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    texts = [
+        "intro words permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files end",
+        "free of charge " * 14, "to the extent possible under law the " + "all copyright and " * 12, "General Public License " * 6, notice, f"{notice} {notice}", "the license " * 50, "of this software " * 30 + notice,
+        " ".join(notice.split()[::-1]), " ".join(w + (" extra" if i % 4 == 0 else "") for i, w in enumerate(notice.split())), "under the terms of the gnu lesser general public license",
+    ]
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}).collect()}
+    for i, text in enumerate(texts):
+        assert (rows[i].labels, rows[i].score) == brute_finds(text, license_scan.TEMPLATES), text
+    assert rows[0].labels == "mit" and rows[0].score > 0.6 and rows[4].labels == "mit" and rows[4].score == 1
+    assert rows[1].labels == rows[2].labels == rows[3].labels == rows[6].labels == rows[8].labels == ""
+    assert [f.first_word for f in rows[5].finds] == [0, 20] and [f.first_word for f in rows[7].finds] == [90]
+
+
+def test_license_phrases_of_few_words(spark, odd):
+    df = spark.createDataFrame([(1, "GPL here, MIT License there; mit license"), (2, "none"), (3, None), (4, "mit"), (5, "x mit y gpl")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(df, {"gpl": "gpl", "mit license": "mit", "": "void"}, [("two", "y gpl"), ("none", " ")]).collect()}
+    assert [(rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels, rows[i].labels) for i in range(1, 6)] == [
+        (3, 0, 5, "gpl,mit", "gpl,mit"), (0, None, None, "", ""), (0, None, None, "", ""), (0, None, None, "", ""), (1, 3, 3, "gpl", "gpl,two")
+    ]
+    assert all(r.labels == "" for r in license_scan.scan_licenses(odd, {}, []).collect())
 
 
 # ---- 9 ----

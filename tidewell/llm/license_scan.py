@@ -1,13 +1,17 @@
 """Operator 8, license scans: diagonal voting of word k-grams against license templates.
 
-All rolling GRAM-word hashes of the whole texts are joined with the places of the same hashes in the templates (a fixed, small table). Each
-match votes for a diagonal: its place in the document less its place in the template. Votes are summed by document, template and
-diagonal, and diagonals up to NEAR apart are merged, as words that were put in or left out move them. A merged diagonal is a find if its
-votes cover enough of the template's grams. Phrases are templates as well, whose words are compared one by one where their first gram
-votes. Nothing but DataFrame functions runs.
-
-Defined cases: null and wordless texts have no words, places or labels; rows with equal doc_ids are rows of their own; extra columns are
-ignored; an empty table gives an empty result.
+All rolling hashes of GRAM words of the whole texts (of fewer, where a template has fewer) are joined with the places of the same hashes in
+the templates (a fixed, small table). A match whose words are equal too votes for a diagonal: its place in the document less its place in
+the template. Votes are summed by document, template and diagonal; on one diagonal every template place can vote once. Diagonals up to
+NEAR apart are merged, as words that were put in or left out move them: a span is a diagonal with its neighbours on either side, and it is
+verified by the share of the template's grams that stand there, each counted once wherever it was found. So a passage that repeats a few
+grams of a template many times covers those few only. A span is a find if it covers enough. Phrases are templates as well, whose words are
+compared one by one where their first gram votes. Nothing but DataFrame functions runs.
+
+Templates are the notices by which works name their license, and the license texts, one template for each paragraph.
+
+Defined cases: null and wordless texts have no words, places or labels; rows with equal doc_ids are rows of their own; templates and phrases
+without words find nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,50 +42,84 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    # license texts, by paragraph (fixed values)
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("gpl-3", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
 ]
 
 
-def _gram(words: Column, at: Column) -> Column:
-    return F.xxhash64(F.get(words, at), *(F.get(words, at + k) for k in range(1, GRAM)))
+def _gram(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(words, at + k) for k in range(size)))
 
 
-def template_places(spark: SparkSession, phrases: dict[str, str], templates: list[tuple[str, str]]) -> DataFrame:
-    """gram, template, label, phrase, grams, t: a row for each gram of each template, and one that the end of every document matches."""
-    rows = [(i, label, kind, text.split(" ")) for i, (label, kind, text) in enumerate([(v, True, k) for k, v in phrases.items()] + [(v, False, t) for v, t in templates])]
-    table = spark.createDataFrame(rows, "template int, label string, phrase boolean, words array<string>").withColumn("grams", F.size("words") - GRAM + 1)
-    places = table.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("grams") - 1))).withColumn("gram", _gram(F.col("words"), F.col("t")))
-    end = spark.createDataFrame([(-1, None, False, [""], 1, 0)], "template int, label string, phrase boolean, words array<string>, grams int, t int").withColumn("gram", F.xxhash64(F.lit("")))
-    return places.unionByName(end)
+def _table(phrases: dict[str, str], templates: list[tuple[str, str]], gram: int) -> list[tuple]:
+    """template, label, phrase, words, size (of its grams)."""
+    rows = [(label, True, text.split()) for text, label in phrases.items()] + [(label, False, text.split()) for label, text in templates]
+    return [(i, label, kind, words, min(gram, len(words))) for i, (label, kind, words) in enumerate(rows) if words]
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, cover: float = COVER) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    table = template_places(docs.sparkSession, phrases, templates).withColumnRenamed("words", "phrase_words")  # the templates' words and one row
+def template_places(spark: SparkSession, table: list[tuple]) -> DataFrame:
+    """gram, size, template, label, phrase, template_words, grams, t: a row for each gram of each template, and one that the end of every document matches."""
+    schema = "template int, label string, phrase boolean, template_words array<string>, size int"
+    rows = spark.createDataFrame(table, schema).withColumn("grams", F.size("template_words") - F.col("size") + 1)
+    places = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("grams") - 1)))
+    made = None
+    for size in sorted({r[-1] for r in table}):
+        part = places.where(F.col("size") == size).withColumn("gram", _gram(F.col("template_words"), F.col("t"), size))
+        made = part if made is None else made.unionByName(part)
+    end = spark.createDataFrame([(-1, None, False, [""], 0, 1, 0)], f"{schema}, grams int, t int").withColumn("gram", F.xxhash64(F.lit("")))
+    return end if made is None else made.unionByName(end)
+
+
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, cover: float = COVER, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, finds (label, first word, cover of each verified span) of every row."""
+    rows = _table(phrases, templates, gram)
+    table = template_places(docs.sparkSession, rows)  # the templates' words and one row
     text = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_array(F.col("text")).alias("words"))
     ended = text.withColumn("n_words", F.size("words").cast("long")).withColumn("words", F.concat("words", F.array(F.lit(""))))
     places = ended.select("row", "doc_id", "n_words", "words", F.posexplode("words").alias("p", "word"))
-    gram = F.xxhash64("word", *(F.get("words", F.col("p") + k) for k in range(1, GRAM)))
-    exact = F.when(F.col("phrase") & (F.col("t") == 0), F.slice("words", F.col("p") + 1, F.size("phrase_words")) == F.col("phrase_words")).otherwise(False)
-    votes = places.withColumn("gram", gram).join(F.broadcast(table), "gram").select("row", "doc_id", "n_words", "template", "label", "grams", "phrase", (F.col("p") - F.col("t")).cast("long").alias("diagonal"), exact.alias("exact"))
+    sizes = sorted({r[-1] for r in rows} | {gram})
+    hashes = [F.xxhash64("word", *(F.get("words", F.col("p") + k) for k in range(1, size))) for size in sizes]
+    # the end of a text has one hash, whatever the sizes
+    if len(sizes) > 1:
+        places = places.withColumn("gram", F.explode(F.when(F.col("word") == "", F.array(hashes[-1])).otherwise(F.array(*hashes))))
+    else:
+        places = places.withColumn("gram", hashes[0])
+    aligned = F.slice("words", F.col("p") + 1, F.col("size")) == F.slice("template_words", F.col("t") + 1, F.col("size"))
+    exact = F.when(F.col("phrase") & (F.col("t") == 0), F.slice("words", F.col("p") + 1, F.size("template_words")) == F.col("template_words")).otherwise(False)
     own = ["row", "doc_id", "n_words", "template", "label", "grams", "phrase"]
-    votes = votes.withColumn("diagonal", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("diagonal")))
-    diagonals = votes.groupBy(*own, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.max("exact").alias("exact"))
-    line = W.partitionBy("row", "template").orderBy("diagonal")  # the diagonals of one template in one text
-    apart = (F.col("diagonal") - F.lag("diagonal").over(line) > NEAR).cast("int")
-    merged = diagonals.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("island", F.sum("apart").over(line))
-    finds = merged.groupBy(*own, "island").agg(
-        F.least(F.sum("votes") / F.col("grams"), F.lit(1.0)).alias("cover"), F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("diagonal"))).alias("first_word"), F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_word")
-    )
-    real = (F.col("template") >= 0) & F.when(F.col("phrase"), F.col("n_base") > 0).otherwise(F.col("cover") >= cover)
-    shown = F.when(F.col("template") >= 0, F.when(F.col("phrase"), (F.col("n_base") > 0).cast("double")).otherwise(F.col("cover")))
+    diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("p") - F.col("t")).cast("long")
+    votes = places.join(F.broadcast(table), "gram").select(*own, "t", diagonal.alias("diagonal"), (aligned | (F.col("template") < 0)).alias("equal"), exact.alias("exact"))
+    diagonals = votes.groupBy(*own, "diagonal").agg(F.collect_set(F.when(F.col("equal"), F.col("t"))).alias("covered"), F.max("exact").alias("exact"))  # a template's grams at most
+    line = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)  # a diagonal of one text and its neighbours: 2 * NEAR + 1 at most
+    span = F.size(F.array_distinct(F.flatten(F.collect_list("covered").over(line)))) / F.col("grams")
+    spans = diagonals.withColumn("cover", F.when(F.col("phrase") | (F.col("template") < 0), F.col("exact").cast("double")).otherwise(span))
+    real = (F.col("template") >= 0) & F.when(F.col("phrase"), F.col("exact")).otherwise(F.col("cover") >= cover)
+    # of the diagonals of a span the fullest one names it
+    best = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    named = spans.withColumn("real", real).withColumn("top", F.max(F.struct("cover", (-F.col("diagonal")).alias("at"))).over(best))
+    find = F.when(F.col("real") & ((F.col("phrase")) | (F.col("top")["at"] == -F.col("diagonal"))), F.struct("label", F.greatest("diagonal", F.lit(0)).alias("first_word"), "cover"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    return finds.groupBy("row", "doc_id", "n_words").agg(
-        F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), labels(F.col("n_base") > 0).alias("base_labels"), labels(real).alias("labels"), F.round(F.coalesce(F.max(shown), F.lit(0.0)), 6).alias("score")
+    return named.groupBy("row", "doc_id", "n_words").agg(
+        F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("diagonal"))).alias("first_word"), F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_word"),
+        labels(F.col("exact")).alias("base_labels"), labels(F.col("real")).alias("labels"), F.round(F.coalesce(F.max(F.when(F.col("template") >= 0, F.col("cover"))), F.lit(0.0)), 6).alias("score"), F.array_sort(F.collect_list(find)).alias("finds"),
     ).drop("row")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("finds")
 
 
 def _sql_lists() -> str:
@@ -93,15 +131,14 @@ WITH t0 AS (SELECT template, label, phrase, string_split(words, ' ') AS tw, len(
 tg AS (SELECT template, label, phrase, tw, grams, t, tw[t + 1 : t + {GRAM}] AS g FROM (SELECT *, unnest(range(0, grams)) AS t FROM t0)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS w FROM documents),
 dg AS (SELECT rid, w, p, w[p + 1 : p + {GRAM}] AS g FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {GRAM - 1}, 0))) AS p FROM d)),
-votes AS (SELECT rid, template, label, phrase, grams, p - t AS diagonal, phrase AND t = 0 AND w[p + 1 : p + len(tw)] = tw AS exact FROM dg JOIN tg USING (g)),
-diag AS (SELECT rid, template, label, phrase, grams, diagonal, count(*) AS votes, bool_or(exact) AS exact FROM votes GROUP BY ALL),
-lagged AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > {NEAR} THEN 1 ELSE 0 END AS apart FROM diag),
-isl AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS island FROM lagged),
-finds AS (SELECT rid, template, label, phrase, island, least(sum(votes) / grams, 1.0) AS cover, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first_word, max(diagonal) FILTER (exact) AS last_word FROM isl GROUP BY rid, template, label, phrase, grams, island),
-per AS (SELECT rid, CAST(sum(n_base) AS BIGINT) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (n_base > 0)), ',') AS base_labels,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN phrase THEN n_base > 0 ELSE cover >= {COVER} END)), ',') AS labels,
-  round(max(CASE WHEN phrase THEN CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END ELSE cover END), 6) AS score FROM finds GROUP BY rid)
+votes AS (SELECT rid, template, label, phrase, grams, t, p - t AS diagonal, phrase AND t = 0 AND w[p + 1 : p + len(tw)] = tw AS exact FROM dg JOIN tg USING (g)),
+diag AS (SELECT rid, template, label, phrase, grams, diagonal, bool_or(exact) AS exact FROM votes GROUP BY ALL),
+cov AS (SELECT a.rid, a.template, a.diagonal, count(DISTINCT b.t) AS covered FROM diag a JOIN votes b ON a.rid = b.rid AND a.template = b.template AND b.diagonal BETWEEN a.diagonal - {NEAR} AND a.diagonal + {NEAR} GROUP BY ALL),
+finds AS (SELECT rid, template, label, phrase, CASE WHEN phrase THEN CASE WHEN exact THEN 1.0 ELSE 0.0 END ELSE covered / grams END AS cover, exact, diagonal FROM diag JOIN cov USING (rid, template, diagonal)),
+per AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first_word, max(diagonal) FILTER (exact) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN phrase THEN exact ELSE cover >= {COVER} END)), ',') AS labels,
+  round(max(cover), 6) AS score FROM finds GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN per USING (rid)
 """
