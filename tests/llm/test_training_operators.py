@@ -329,6 +329,77 @@ def test_reliabilities_find_the_better_labeler():
     assert ((pii._features(kinds, votes) @ w > 0) == truth).mean() > 0.93
 
 
+def brute_candidates(text):
+    """(kind, start, stop, votes) of all candidates, by Python's regular expressions."""
+    t, out = text or "", []
+    for name, pattern in pii.PATTERNS.items():
+        k = pii.KINDS.index(name)
+        places = [(a, e) for a, j, e, _ in brute_spans(t) if j == k] if k < 4 else [m.span() for m in re.finditer(pattern, t, re.A)]
+        every = [m.span() for m in re.finditer(BASE[name] if k < 4 else pattern, t, re.A)]
+        for a, e in places:
+            x, last = t[a:e], max((q for p, q in every if q <= a), default=0)
+            before, after = t[max(last, a - 24) : a].lower(), t[e : e + 1] if not any(p == e for p, _ in every) else ""
+            digits = re.sub("[^0-9]", "", x)
+            form = {
+                "email": lambda: re.search(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}$", x), "ip": lambda: not re.search(r"(?:^|\.)0[0-9]", x), "card": lambda: 13 <= len(digits) <= 19, "phone": lambda: 10 <= len(digits) <= 15,
+                "secret": lambda: len(x) in (32, 40, 64, 128) and re.search("[0-9]", x) and re.search("[a-fA-F]", x), "local_phone": lambda: re.search(r"^\(?[2-9]", x), "id_number": lambda: not re.search(r"^(?:000|666|9)|-00-|-0000$", x),
+                "spelled_email": lambda: re.search(r"(?i)(?:\.|[\[(]dot[\])])\x20?[a-z]{2,24}$", x), "name": lambda: len(x) >= 10,
+            }[name]()
+            octets = [int(o) for o in x.split(".")] if name == "ip" else []
+            listed = 0
+            if name in ("email", "spelled_email"):
+                listed = 1 if (re.search(r"([A-Za-z]+)$", x) or [""])[0].lower() in pii.ENDINGS else -1
+            elif name == "ip":
+                listed = -1 if octets[0] in (0, 127) or octets[0] >= 224 else 0 if octets[0] == 10 or octets[:2] == [192, 168] or (octets[0] == 172 and 16 <= octets[1] <= 31) else 1
+            elif name == "card":
+                listed = int(digits[0] in "3456")
+            elif name == "phone":
+                listed = int(bool(re.search(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", x)))
+            elif name == "name":
+                listed = int(re.search(r"\x20([A-Z][a-z]+)\x20", x)[1].lower() in pii.GIVEN)
+            cue = -1 if re.search(pii.AGAINST, before) else int(bool(re.search(pii.CUES[name], before)))
+            edge = -1 if re.search(r"[\w.-]$", before, re.A) or re.search(r"[\w@]", after, re.A) else 1
+            out.append((k, a, e, (1 if form else -1, listed, cue, edge)))
+    return out
+
+
+def test_votes_and_added_spans_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    bits = [
+        "call 212-555-0147", "fax (415) 555-2671", "version 312.555.0199", "ssn 123-45-6789", "tax 666-12-3456", "release 900-12-0000", "joe [at] mail [dot] com", "write to anna (at) site.org", "b [at] x [dot] zz9", "Dr. Anna Kerr", "dear Mr John Smith", "Prof Xi Yu", "token " + "deadbeef" * 4,
+        "sha1 " + "0123456789abcdef" * 2 + "01234567", "key " + "a1" * 20, "mail a@b.com", "x@y.zzz", "from 8.8.8.8", "127.0.0.1", "010.1.1.1", "card 4111 1111 1111 1111", "+1 (234) 555-6789", "phone +49301234567", "plain words", "é 日本 😀", ",", "_", "-", ".", "call 212-555-0147x", "212-555-0147 123-45-6789",
+    ]
+    rows = [(i, " ".join(rng.choice(bits, rng.integers(0, 9)))) for i in range(250)] + [(300, None), (301, ""), (302, "ssn 123-45-6789 " * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: brute_candidates(t) for i, t in rows}
+    got = {r.doc_id: [(x.kind, x.start, x.stop, (x.form, x.list, x.cue, x.edge)) for x in r.spans] for r in pii.candidate_spans(df).collect()}
+    for i, t in rows:
+        assert sorted(got[i]) == sorted(want[i]), t
+    patterns = Counter((k, v) for found in want.values() for k, _, _, v in found)
+    assert {k for k, _ in patterns} == set(range(len(pii.KINDS)))
+    kinds, votes, n = np.array([k for k, _ in patterns]), np.array([v for _, v in patterns]), np.array(list(patterns.values()), float)
+    q, _ = pii.fit_reliabilities(kinds, votes, n)
+    w = pii.fit_classifier(kinds, votes, n, q)
+    accepted = {p: z >= 0 for p, z in zip(patterns, pii._features(kinds, votes) @ w, strict=True)}
+    for r in pii.personal_data(df).collect():
+        kept = sorted((a, k, e) for k, a, e, _ in want[r.doc_id] if k < 4)
+        base = list(kept)
+        assert [tuple(x) for x in r.base] == base
+        upto = 0
+        for a, k, e in sorted((a, k, e) for k, a, e, v in want[r.doc_id] if k >= 4 and accepted[k, v]):
+            if a >= upto and not any(a < y and x < e for x, _, y in base):
+                kept.append((a, k, e))
+                upto = e
+        assert [tuple(x) for x in r.found] == sorted(kept)
+    assert any(accepted[p] for p in accepted if p[0] >= 4) and any(not accepted[p] for p in accepted if p[0] >= 4)
+
+
+def test_many_matches_in_one_text(spark):
+    df = spark.createDataFrame([(1, "12 " * 200_000), (2, "a@b.com " * 20_000), (3, "ssn 123-45-6789, " * 20_000)], "doc_id long, text string")
+    rows = {r.doc_id: (len(r.base), len(r.found)) for r in pii.personal_data(df).select("doc_id", "base", "found").collect()}
+    assert rows[1] == (0, 0) and rows[2] == (20_000, 20_000) and rows[3][0] == 0 and rows[3][1] in (0, 20_000)
+
+
 def test_personal_data_of_nothing(none):
     assert pii.personal_data(none).collect() == []
 

@@ -9,7 +9,8 @@ sign, identity numbers, e-mails that are spelled out, names after a title). Labe
   edge     context: whether the span stands by itself or inside a longer token
 Only the counts of equal vote patterns (at most 9 * 3**4) go to the driver: a two-class latent model is fitted to them by expectation-maximisation, and
 a logistic regression on kind and votes learns its posteriors. The classifier is a Spark expression; base spans stay whatever it says,
-other candidates are added if its probability is at least `accept` and they overlap no base span. Nothing but DataFrame functions runs.
+other candidates are added if its probability is at least `accept`, unless they overlap a base span or an added one before them. All of it
+is linear in the text and its matches. Nothing but DataFrame functions runs.
 
 Defined cases: null text is empty; matches that fail a check are dropped and not retried; rows with equal doc_ids are rows of their own; extra
 columns are ignored; an empty table gives an empty result.
@@ -32,7 +33,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
     "local_phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "id_number": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "spelled_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,64}){1,4}",
@@ -43,8 +44,20 @@ CUES = {
     "local_phone": "phone|tel|call|mobile|fax", "id_number": "ssn|social|security|tax|identity", "spelled_email": "mail|contact|write|reply", "name": "dear|patient|client|name|contact|by",
 }
 AGAINST = "version|release|isbn|issn|section|chapter|commit|sha1|md5|checksum|build|page"
-ENDINGS = ["com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "ch", "at", "be", "jp", "cn", "in", "br", "au", "ru", "pl", "mx"]
-GIVEN = ["james", "mary", "john", "anna", "robert", "maria", "michael", "linda", "david", "laura", "peter", "julia", "paul", "sarah", "thomas", "emma", "jean", "marie", "carlos", "sofia", "hans", "klara", "pierre", "louise"]
+#: Gazetteers, written down by hand: common endings of addresses, and common given names of English, French, German and Spanish speakers.
+ENDINGS = """
+com org net edu gov mil int info biz io co dev app ai me tv cc eu us ca mx br ar cl pe ve uk ie fr de es pt it nl be lu ch at dk se no fi is pl cz sk hu ro bg gr tr
+ru ua by lt lv ee hr si rs il ae sa eg za ng ke ma in pk bd lk cn hk tw jp kr sg my th vn id ph au nz test example invalid
+""".split()
+GIVEN = """
+james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen daniel lisa matthew nancy
+anthony betty mark sandra steven ashley paul emily andrew donna joshua michelle kenneth carol kevin amanda brian melissa george deborah edward laura emma olivia noah liam
+jean marie pierre louise jacques jeanne michel françoise philippe monique alain catherine nicolas nathalie françois isabelle julien sophie antoine camille luc claire
+hans klara peter ursula wolfgang monika klaus petra stefan sabine andreas anna jürgen renate michaela heike markus julia felix lena lukas katharina friedrich greta
+carlos maria jose carmen antonio josefa manuel isabel francisco dolores juan pilar javier teresa miguel lucia alejandro sofia pedro marta luis elena diego paula
+""".split()
+#: Items of a block of a running sum.
+STEP = 256
 LABELERS = ["form", "list", "cue", "edge"]
 
 
@@ -106,31 +119,58 @@ def _list(kind: str, x: Column) -> Column:
     return F.lit(0)
 
 
-def spans(text: Column, kind: str, guard: Column) -> Column:
-    """Candidates of a kind: start, end (code points), votes. Matches and the pieces between them give the places."""
+_PLACED = "struct<start:int,stop:int,x:string,before:string,after:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(items: Column, n: Column, carry: Column, step, kind: str) -> Column:
+    """What step(carry, item) -> (carry, value or null) makes of the n items in order; `kind`: the type of the values.
+
+    It goes in blocks of STEP items, so that the array that grows is short, and the work linear in the items.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, i: Column) -> Column:
+        after, value = step(s["carry"], F.get(items, i))
+        return F.struct(after.alias("carry"), F.when(value.isNotNull(), F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"))
+
+    def block(s: Column, b: Column) -> Column:
+        inner = F.aggregate(F.sequence(b * STEP, F.least((b + 1) * STEP, n) - 1), F.struct(s["carry"].alias("carry"), empty.alias("out")), one)
+        return _let(inner, lambda r: F.struct(r["carry"].alias("carry"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(n > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), start, block)["out"])).otherwise(empty)
+
+
+def placed_matches(text: Column, kind: str) -> Column:
+    """Valid matches of a kind with their places (code points) and surroundings. Matches and the pieces between them give the places by a running sum; what fails its check enters no array."""
     pattern = PATTERNS[kind]
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,x:string,before:string,after:string>>").alias("out"))
 
-    def step(s, i):
-        begin, x = s["at"] + F.length(F.get(pieces_, i)), F.get(found_, i)
-        one = F.struct(begin.alias("start"), (begin + F.length(x)).alias("stop"), x.alias("x"), F.lower(F.substring(F.get(pieces_, i), -24, 24)).alias("before"), F.substring(F.get(pieces_, i + 1), 1, 1).alias("after"))
-        return F.struct((begin + F.length(x)).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def unfold(h: Column) -> Column:
+        found, pieces = h["found"], h["pieces"]
+
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            x, begin = F.get(found, i), at + F.length(F.get(pieces, i))
+            stop = begin + F.length(x)
+            one = F.struct(begin.alias("start"), stop.alias("stop"), x.alias("x"), F.lower(F.substring(F.get(pieces, i), -24, 24)).alias("before"), F.substring(F.get(pieces, i + 1), 1, 1).alias("after"))
+            return stop, F.when(_valid(kind, x), one)
 
-    # both arrays are made once, in a one-element array that a lambda takes apart
-    holder = F.array(F.struct(found.alias("found"), pieces.alias("pieces")))
+        return F.when(F.size(found) > 0, _let(F.sequence(F.lit(0), F.size(found) - 1), lambda i: _fold(i, F.size(found), F.lit(0), step, _PLACED)))
 
-    def unfold(h):
-        nonlocal found_, pieces_
-        found_, pieces_ = h["found"], h["pieces"]
-        return F.when(F.size(found_) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found_) - 1), start, step)["out"])
+    made = _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces")), unfold)
+    return F.coalesce(made, F.array().cast(f"array<{_PLACED}>"))
 
-    found_ = pieces_ = None
-    made = F.coalesce(F.get(F.transform(holder, unfold), F.lit(0)), F.array().cast("array<struct<start:int,stop:int,x:string,before:string,after:string>>"))
+
+def spans(text: Column, kind: str, guard: Column) -> Column:
+    """Candidates of a kind: start, end (code points), votes."""
     cue = lambda m: F.when(m["before"].rlike(f"(?:{AGAINST})"), -1).when(m["before"].rlike(f"(?:{CUES[kind]})"), 1).otherwise(0)
     edge = lambda m: F.when(m["before"].rlike(r"[\w.-]$") | m["after"].rlike(r"[\w@]"), -1).otherwise(1)
     shown = lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), _form(kind, m["x"]).alias("form"), _list(kind, m["x"]).cast("int").alias("list"), cue(m).alias("cue"), edge(m).alias("edge"))
-    return F.when(guard, F.transform(F.filter(made, lambda m: _valid(kind, m["x"])), shown)).otherwise(F.array().cast("array<struct<kind:int,start:int,stop:int,form:int,list:int,cue:int,edge:int>>"))
+    return F.when(guard, F.transform(placed_matches(text, kind), shown)).otherwise(F.array().cast("array<struct<kind:int,start:int,stop:int,form:int,list:int,cue:int,edge:int>>"))
 
 
 def candidate_spans(docs: DataFrame) -> DataFrame:
@@ -145,20 +185,31 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
 # ---- reliabilities and the classifier, from counts of vote patterns ----
 
 
+#: Where expectation-maximisation starts: P(vote no, nothing, yes) by class.
+START = np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])
+
+
 def fit_reliabilities(kinds: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation of a two-class model with independent labelers: (posterior of each pattern, P(vote | class) as [labeler, class, vote + 1])."""
-    theta = np.tile(np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]), (votes.shape[1], 1, 1))
+    """Expectation-maximisation of a two-class model with independent labelers: (posterior of each pattern, P(vote | class) over all kinds as [labeler, class, vote + 1]).
+
+    A labeler has a reliability of its own for each kind, which a kind with few spans shares with all others: theirs count as 20 votes.
+    """
+    labelers = votes.shape[1]
+    theta = np.tile(START, (labelers, 1, 1))
+    own = np.tile(START, (labelers, len(KINDS), 1, 1))
     prior = np.full(len(KINDS), 0.7)
     q = np.full(len(n), 0.5)
     for _ in range(rounds):
-        like = np.stack([np.log(theta[j][:, votes[:, j] + 1]) for j in range(votes.shape[1])]).sum(axis=0)  # class x pattern
-        odds = np.log(prior[kinds] / (1 - prior[kinds])) + like[1] - like[0]
+        like = sum(np.log(own[j][kinds, :, votes[:, j] + 1]) for j in range(labelers))  # pattern x class
+        odds = np.log(prior[kinds] / (1 - prior[kinds])) + like[:, 1] - like[:, 0]
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        for j in range(votes.shape[1]):
+        for j in range(labelers):
             for c, w in ((0, n * (1 - q)), (1, n * q)):
                 # the start counts as 5 votes: labelers that hardly vote keep near it
-                got = np.bincount(votes[:, j] + 1, w, 3) + 5 * np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])[c]
+                got = np.bincount(votes[:, j] + 1, w, 3) + 5 * START[c]
                 theta[j][c] = got / got.sum()
+                each = np.bincount(3 * kinds + votes[:, j] + 1, w, 3 * len(KINDS)).reshape(-1, 3) + 20 * theta[j][c]
+                own[j][:, c] = each / each.sum(axis=1, keepdims=True)
         prior = np.clip((np.bincount(kinds, n * q, len(KINDS)) + 3.5) / (np.bincount(kinds, n, len(KINDS)) + 5), 0.02, 0.98)
     return q, theta
 
@@ -204,11 +255,30 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     else:
         w = np.zeros(len(KINDS) + 2 * len(LABELERS))
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
-    outer = rows.withColumn("base", base)
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    added = F.filter("spans", lambda x: (x["kind"] >= len(BASE)) & (probability(x, w) >= accept) & clear(x))
+    added = F.filter("spans", lambda x: (x["kind"] >= len(BASE)) & (probability(x, w) >= accept))
     put = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))))
-    return outer.select("doc_id", put(F.concat("base", added)).alias("found"), put(F.col("base")).alias("base"))
+    outer = rows.select("doc_id", put(base).alias("base"), put(added).alias("added"))
+    found = F.when(F.size("added") == 0, F.col("base")).otherwise(_without_overlaps(F.array_sort(F.concat("base", "added"))))
+    return outer.select("doc_id", found.alias("found"), "base")
+
+
+_SPAN = "struct<start:int,kind:int,stop:int>"
+
+
+def _without_overlaps(items: Column) -> Column:
+    """Sorted spans without the added ones that overlap a base span, and without those that overlap an added one that stays before them."""
+
+    def backward(upto: Column, x: Column) -> tuple[Column, Column]:  # upto: the start of the next base span
+        return F.when(x["kind"] < len(BASE), x["start"]).otherwise(upto), F.when((x["kind"] < len(BASE)) | (x["stop"] <= upto), x)
+
+    def forward(upto: Column, x: Column) -> tuple[Column, Column]:  # upto: the ends of base spans, and of added ones, so far
+        known, free = x["kind"] < len(BASE), (x["start"] >= upto["base"]) & (x["start"] >= upto["added"])
+        stay = F.struct(F.when(known, F.greatest(upto["base"], x["stop"])).otherwise(upto["base"]).alias("base"), F.when(~known & free, x["stop"]).otherwise(upto["added"]).alias("added"))
+        return stay, F.when(known | free, x)
+
+    clear = _let(F.reverse(items), lambda r: _fold(r, F.size(r), F.lit(2**31 - 1), backward, _SPAN))
+    zero = F.struct(F.lit(0).alias("base"), F.lit(0).alias("added"))
+    return _let(F.reverse(clear), lambda r: _fold(r, F.size(r), zero, forward, _SPAN))
 
 
 def _joined(c: Column) -> Column:
