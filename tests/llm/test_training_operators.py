@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,37 @@ def test_large_group_of_near_copies(spark):
     assert got == Counter(brute_pairs(df.collect()))
 
 
+def test_every_pair_of_a_bucket_is_compared():
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 1 << 30, (120, ngram_join.SIGNATURE)).astype(np.int32)
+    sig[100] = sig[0]
+    batch = pa.record_batch([pa.array(np.full(120, 7)), pa.array(np.arange(120)), pa.array(sig.tolist(), pa.list_(pa.int32()))], names=["key", "node", "sig"])
+    found = pa.Table.from_batches(list(ngram_join._brute([batch.slice(0, 50), batch.slice(50)]))).to_pylist()
+    assert found == [{"a": 0, "b": 100}]
+
+
+def test_runs_repeat_until_the_target_recall(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 30, 120)]
+        rows.append((2 * i, " ".join(w)))
+        for j in rng.integers(0, 120, 2):
+            w[j] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    report, few = {}, {}
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df, report=report).collect())
+    assert got == Counter(brute_pairs(df.collect())) and report["recall"] >= ngram_join.TARGET and report["probe_pairs"] > 300
+    nodes = ngram_join.sketches(df).select("node", "sig")
+    every, met = ngram_join.probed(nodes, spark.createDataFrame([], "node long, root long"))
+    assert every == report["probe_pairs"] and met == 0
+    monkeypatch.setattr(ngram_join, "FIRST", 1)
+    monkeypatch.setattr(ngram_join, "MORE", 1)
+    ngram_join.candidate_groups(ngram_join.staged(nodes, "nodes"), report=few)
+    assert few["runs"] > 1 and few["recall"] >= ngram_join.TARGET
+
+
 def test_one_of_each_stays(odd, none, docs):
     kept = ngram_join.first_of_each(odd)
     assert kept.columns == odd.columns

@@ -2,15 +2,17 @@
 
 1. Every whole text becomes its set of shingles (words: runs of 0-9, a-z and non-ASCII after A-Z is lowered; a text of one to four words is
    one shingle). Equal sets are one node, named by a 64-bit hash of the set. A node has a MinHash signature of SIGNATURE values.
-2. Chosen paths: in each of RUNS runs, nodes are dealt into buckets by a sampled signature value; buckets over SMALL are split again by
-   another sampled value, and so on to DEPTH. A large bucket's centre (the commonest signature values of about SMALL of its nodes) is
-   compared with all its nodes; those near it are linked to the nearest one, and the very near ones leave the bucket, so a group of near
-   copies doesn't stay together to be compared pair by pair. Small buckets are compared by brute force.
-3. Nodes whose signatures agree in at least CANDIDATE of the values make candidate components. Within these, the exact Jaccard similarity
-   of all pairs of nodes is computed, in blocks of BLOCK nodes, and every link of `threshold` or more is counted.
-
-A pair at the threshold meets in a bucket of depth one with probability 0.8 and more a run, so RUNS = 8 leave fewer than 1 in 10 000
-unfound even at depth two; a component then finds again what its other links connect.
+2. Chosen paths: the tokens of a node are its signature values with their places (the published algorithm embeds sets so, which makes them
+   equally large). In each run, nodes are dealt into buckets by a sampled token; buckets over SMALL are split again by another sampled
+   token, and so on to DEPTH. A large bucket's centre (the commonest tokens of about SMALL of its nodes) is compared with all its nodes;
+   those near it are linked to the nearest one, and the very near ones leave the bucket, so a group of near copies doesn't stay together
+   to be compared pair by pair. Small buckets are compared by brute force, however many nodes they hold.
+3. Nodes whose signatures agree in at least CANDIDATE of the values make candidate components. After the first FIRST runs, recall is
+   measured: PROBE nodes, chosen by hash, are compared with all nodes, and those that agree in PROBE_AGREE values (fewer than what a pair
+   at the threshold has on average, so the measure is a strict one) should be in their components. While less than TARGET of them are,
+   MORE runs are made.
+4. Within candidate components, the exact Jaccard similarity of all pairs of nodes is computed, in blocks of BLOCK nodes, and every link of
+   `threshold` or more is counted.
 
 Defined cases: null and wordless texts have no shingles, link to nothing and are classes of their own; rows with equal doc_ids are rows of
 their own; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
@@ -18,6 +20,8 @@ their own; a null doc_id is kept; extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,18 +30,23 @@ from pyspark.sql import types as T
 
 from .common import chunks, fresh, mixed, runs, span_hashes, staged
 
+_LOG = logging.getLogger(__name__)
+
 WORDS = 5
 THRESHOLD = 0.8
 SIGNATURE = 64
-RUNS = 8
+FIRST, MORE, MOST = 6, 4, 42
+TARGET = 0.999
+PROBE, PROBE_AGREE = 512, 46
 DEPTH = 6
 SMALL = 48
 CANDIDATE = 38  # of 64: four standard deviations below 0.8
 CLOSE = 52  # of 64: leaves a large bucket; what links to it agrees with the centre in 64 * (1 - 12/64 - 0.2) = 39 values on average at worst,
 NEAR = 32  # so what agrees in two standard deviations less is linked to the centre's nearest node before that
 BLOCK = 512
-#: Ids of texts to read again that are broadcast; more go through a shuffled join.
+#: Rows of ids or bucket keys that are broadcast, and of centres; more go through a shuffled join.
 ACTIVE_ROWS = 300_000
+CENTRES = 20_000
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -173,7 +182,7 @@ def _brute(batches):
     def flush(parts):
         key, node, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
         forest: dict[int, Forest] = {}
-        for shift in range(1, SMALL):
+        for shift in range(1, len(key)):
             same = np.flatnonzero(key[shift:] == key[:-shift])
             if not len(same):
                 break
@@ -199,10 +208,10 @@ def _brute(batches):
         yield flush(held)
 
 
-def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
-    """a, b: links that connect nodes whose signatures agree. nodes: node, sig."""
+def candidates(nodes: DataFrame, run_ids: range | list[int] = range(FIRST)) -> DataFrame:
+    """a, b: links that connect nodes whose signatures agree, from the runs of these numbers. nodes: node, sig."""
     key0 = F.xxhash64(F.col("run"), F.lit("run"))
-    rows = nodes.withColumn("run", F.explode(F.array(*(F.lit(i) for i in range(n_runs))))).select("node", F.explode(_children(key0, F.col("sig"))).alias("key"))
+    rows = nodes.withColumn("run", F.explode(F.array(*(F.lit(i) for i in run_ids)))).select("node", F.explode(_children(key0, F.col("sig"))).alias("key"))
     leaves, links, level = None, None, 0
     while True:
         level += 1
@@ -210,10 +219,13 @@ def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
         buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("mark")).where("n > 1"), "buckets")
         # the same small bucket in several runs is compared once
         small = buckets.where(F.col("n") <= SMALL).groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key")
-        part = rows.join(small, "key").select("key", "node")
+        large = buckets.where(F.col("n") > SMALL).select("key", "n")
+        n_large = large.count()
+        if 0 < n_large <= ACTIVE_ROWS:  # the rows of a hot key then aren't shuffled by it
+            large = F.broadcast(large)
+        part = (rows.join(large, "key", "left_anti") if n_large else rows).join(small, "key").select("key", "node")
         leaves = part if leaves is None else leaves.unionByName(part)
-        large = buckets.where(F.col("n") > SMALL)
-        if not large.limit(1).collect():
+        if not n_large:
             break
         if level == DEPTH:  # what still is together: blocks of a bucket, each pair of blocks a bucket of its own
             half = SMALL // 2
@@ -222,12 +234,16 @@ def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
             both = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64(F.col("key"), F.least(mine, o), F.greatest(mine, o)))
             leaves = leaves.unionByName(rows.join(large, "key").select("node", F.explode(F.array_distinct(both)).alias("key")).select("key", "node"))
             break
-        members = rows.join(large.select("key", "n"), "key")
-        some = members.where(F.pmod(F.xxhash64("node", F.lit("centre")), F.ceil(F.col("n") / SMALL).cast("long")) == 0).join(nodes, "node")  # for the centres only
+        members = rows.join(large, "key")
+        some = members.where(F.pmod(F.xxhash64("node", F.lit("centre")), F.ceil(F.col("n") / SMALL).cast("long")) == 0).join(nodes, "node")  # for the centres only: about SMALL of each bucket
         centres = some.groupBy("key").agg(F.array(*(F.mode(F.get("sig", F.lit(i)), True) for i in range(SIGNATURE))).alias("centre"))
+        if n_large <= CENTRES:
+            centres = F.broadcast(centres)  # a row for each large bucket
         seen = staged(members.join(nodes, "node").join(centres, "key", "left").select("key", "node", "sig", F.coalesce(_agree(F.col("sig"), F.col("centre")), F.lit(0)).alias("same")), "centred")
         near = seen.where(F.col("same") >= NEAR)
         heads = near.groupBy("key").agg(F.max_by("node", F.struct("same", "node")).alias("head"))
+        if n_large <= ACTIVE_ROWS:
+            heads = F.broadcast(heads)  # a row for each large bucket
         link = near.join(heads, "key").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
         links = link if links is None else links.unionByName(link)
         rows = seen.where(F.col("same") < CLOSE).select("node", F.explode(_children(F.col("key"), F.col("sig"))).alias("key"))
@@ -235,6 +251,48 @@ def candidates(nodes: DataFrame, n_runs: int = RUNS) -> DataFrame:
     return staged((brute if links is None else brute.unionByName(links)).distinct(), "links")
 
 
+def probed(nodes: DataFrame, groups: DataFrame) -> tuple[int, int]:
+    """(pairs of a probe node and any other node that agree in PROBE_AGREE values, those of them that are in one group). Each node is compared with PROBE nodes, in batches."""
+    probe = nodes.orderBy(F.xxhash64("node", F.lit("probe"))).limit(PROBE)
+    rows = probe.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig").collect()  # PROBE rows
+    if not rows:
+        return 0, 0
+    roots, place = np.unique(np.array([r.root for r in rows], np.int64), return_inverse=True)
+    own = np.array([r.node for r in rows], np.int64)
+    few = (np.array([r.sig for r in rows], np.int32) & 255).astype(np.uint8)  # chance agreement of a value is 1 in 256
+
+    def run(batches):
+        for batch in batches:
+            node, sig = batch.column("node").to_numpy(), (batch.column("sig").flatten().to_numpy().reshape(-1, SIGNATURE) & 255).astype(np.uint8)
+            found = np.zeros((len(node), len(roots)), np.int32)
+            for i in range(len(own)):
+                found[:, place[i]] += ((sig == few[i]).sum(axis=1) >= PROBE_AGREE) & (node != own[i])
+            at, root = np.nonzero(found)
+            yield pa.record_batch([pa.array(node[at]), pa.array(roots[root]), pa.array(found[at, root].astype(np.int64))], names=["node", "probe_root", "n"])
+
+    hits = nodes.select("node", "sig").mapInArrow(run, "node long, probe_root long, n long").join(groups, "node", "left")
+    there = F.coalesce("root", "node") == F.col("probe_root")
+    r = hits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("met")).first()
+    return r.every, r.met
+
+
+def candidate_groups(nodes: DataFrame, target: float = TARGET, report: dict | None = None) -> DataFrame:
+    """node, root of the candidate components, from as many runs as the target recall takes. report: gets runs, probe_pairs and recall."""
+    links, done = None, 0
+    while True:
+        upto = done + (MORE if done else FIRST)
+        new = candidates(nodes, range(done, upto))
+        links, done = new if links is None else staged(links.unionByName(new).distinct(), "links"), upto
+        groups = staged(components(links), "groups")
+        every, met = probed(nodes, groups)
+        recall = met / every if every else 1.0
+        _LOG.info("n-gram join: %d runs, recall %.5f of %d probe pairs", done, recall, every)
+        if report is not None:
+            report.update(runs=done, probe_pairs=every, recall=recall)
+        if recall >= target or done >= MOST:
+            return groups
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of the links a, b. Large-star and small-star steps in turn."""
     edges = staged(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -270,8 +328,7 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(node[hit]), pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in hit], pa.binary())], names=["node", "shingles"])
 
     ids = staged(active.select(F.col("doc_id").alias("want_id"), F.col("node").alias("want")), "active")
-    if len(ids.limit(ACTIVE_ROWS + 1).select(F.lit(1)).collect()) <= ACTIVE_ROWS:
-        ids = F.broadcast(ids)
+    ids = _small(ids)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "want")
     return staged(own.mapInArrow(run, "node long, shingles binary"), "sets").dropDuplicates(["node"])
 
@@ -331,11 +388,11 @@ def _verify(threshold: float):
     return run
 
 
-def _classified(docs: DataFrame, threshold: float, n_runs: int) -> DataFrame:
+def _classified(docs: DataFrame, threshold: float, target: float, report: dict | None = None) -> DataFrame:
     """What near_duplicates returns, and root: the node that names the class (null without shingles)."""
     all_rows = staged(sketches(docs), "sketches")
     nodes = staged(all_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
-    groups = components(candidates(nodes.select("node", "sig"), n_runs))
+    groups = candidate_groups(nodes.select("node", "sig"), target, report)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     active = staged(groups.join(sizes, "root").join(nodes.select("node", "doc_id", "copies"), "node"), "members")
     sets = _sets(docs, active)
@@ -357,9 +414,9 @@ def _classified(docs: DataFrame, threshold: float, n_runs: int) -> DataFrame:
     return out.select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_runs: int = RUNS) -> DataFrame:
-    """doc_id, node, class_id, n_links for each row of docs. class_id: the least doc_id of the documents that links connect; n_links: other documents at least `threshold` similar, copies included."""
-    return _classified(docs, threshold, n_runs).drop("root")
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, report: dict | None = None) -> DataFrame:
+    """doc_id, node, class_id, n_links for each row of docs. class_id: the least doc_id of the documents that links connect; n_links: other documents at least `threshold` similar, copies included. report: gets the runs made and the recall measured."""
+    return _classified(docs, threshold, target, report).drop("root")
 
 
 def _with_nodes(docs: DataFrame, column: str) -> DataFrame:
@@ -379,7 +436,8 @@ def _with_nodes(docs: DataFrame, column: str) -> DataFrame:
 
 
 def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if len(table.limit(ACTIVE_ROWS + 1).select(F.lit(1)).collect()) <= ACTIVE_ROWS else table
+    """A table of ids, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= ACTIVE_ROWS else table
 
 
 def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -387,7 +445,7 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     An id that one row has decides by itself; rows without an id, and those of an id that several rows have, are told apart by their nodes.
     """
-    found = staged(_classified(docs, threshold, RUNS), "classes")
+    found = staged(_classified(docs, threshold, TARGET), "classes")
     own_id, first_id, node, first_node = (fresh(x, docs.columns) for x in ("own_id", "first_id", "own_node", "first_node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
     firsts = staged(found.where("node is not null").groupBy("root").agg(least.alias("first")).select("first.doc_id", "first.node"), "firsts")
