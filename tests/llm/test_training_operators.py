@@ -1,6 +1,7 @@
 """The ten operators against brute-force versions, and on odd tables."""
 
 import hashlib
+import heapq
 import re
 import sys
 import zlib
@@ -149,6 +150,14 @@ def test_mixing_rates_and_odd_rows(spark, odd, none):
     assert large > 10_000  # means far beyond one piece
 
 
+def test_heavy_sources_are_mixed_by_chunks(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "x" if i < 3 else "y", 1) for i in range(900)] + [(None, None, None, 1)], "doc_id long, text string, source string, mix_part int")
+    weights = {"x": 0.9, "y": 0.1}
+    rows = lambda chunk: Counter((r.doc_id, r.n, r.mix_part, *r.mix) for r in mixing.replicated(df.withColumn("n", F.length("text")), weights, chunk=chunk).collect())
+    want = rows(mixing.CHUNK)
+    assert rows(2) == want and max(want.values()) == 1 and sum(k[0] in (0, 1, 2) for k in want) > 600
+
+
 # ---- 4 ----
 
 
@@ -175,9 +184,46 @@ def test_sharding(request, table):
         assert max(load) < 1.1 * np.mean(load)
 
 
+def longest_first(sizes, n_shards):
+    """Plain scheduling, one item at a time: shard of each item (name, size)."""
+    heap, out = [(0, s) for s in range(n_shards)], {}
+    for name, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        load, shard = heapq.heappop(heap)
+        out[name] = shard
+        heapq.heappush(heap, (load + size, shard))
+    return out
+
+
 def test_sharding_of_nothing(none):
     assert sharding.shard_documents(none).collect() == []
-    assert sharding.longest_first([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert longest_first([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert sharding.scheduled([(5, 1), (3, 2), (1, 1)], 2) == {5: [(0, 1)], 3: [(1, 2)], 1: [(0, 1)]}
+
+
+def test_runs_are_scheduled_as_single_groups():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n_shards = int(rng.integers(1, 18))
+        runs = {int(s): int(n) for s, n in zip(rng.integers(1, 400, 30), rng.choice([1, 2, 7, 80, 900], 30), strict=True)}
+        want = defaultdict(Counter)
+        items = [((s, i), s) for s, n in runs.items() for i in range(n)]
+        for (s, _), shard in longest_first(items, n_shards).items():
+            want[s][shard] += 1
+        assert {s: Counter(dict(x)) for s, x in sharding.scheduled(list(runs.items()), n_shards).items()} == want
+
+
+def test_sharding_is_longest_first_over_all_groups(spark, docs):
+    texts = [r.text for r in docs.collect()] + ["tie %03d" % i for i in range(300)] + [None] * 40 + ["x" * 9000] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    groups = Counter()
+    for i, t in enumerate(texts):
+        groups[i if t is None else t] += len((t or "").encode()) + 1
+    names, got, want = sorted(groups, key=str), Counter(), Counter()
+    for k, s in longest_first([(k, groups[g]) for k, g in enumerate(names)], 16).items():
+        want[groups[names[k]], s] += 1
+    for g, s in {(r.doc_id if texts[r.doc_id] is None else texts[r.doc_id], r.shard) for r in sharding.shard_documents(df).collect()}:
+        got[groups[g], s] += 1
+    assert got == want
 
 
 # ---- 5 ----

@@ -23,9 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. In local mode, where driver and executors are one process, a temporary one will do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +44,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def lookup(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged lookup table, marked for broadcast only if it has at most `limit` rows."""
     small = staged(table, "lookup")
-    return F.broadcast(small) if len(small.limit(limit + 1).select(F.lit(1)).collect()) <= limit else small
+    return F.broadcast(small) if small.count() <= limit else small
 
 
 def fresh(name: str, taken: list[str]) -> str:

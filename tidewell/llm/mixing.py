@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup
+from .common import BROADCAST_ROWS, fresh, staged
 
 SEED = 17
 ALPHA = 0.5
 PIECE = 64.0
 #: Terms of a piece's distribution: beyond them lies less than 1e-12 of a Poisson distribution with mean PIECE.
 TERMS = 160
+#: Pieces or copies of a document in one array.
+CHUNK = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -54,19 +56,48 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["cdf"]).select("source", "rate", "pieces", "cdf")
 
 
-def replicated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """docs' columns and a struct `mix` (n_copies, copy, rate, shuffle_key) of each copy, in the order of shuffle_key within partitions dealt by it."""
-    mix, key = fresh("mix", docs.columns), fresh("mix_source", docs.columns)
-    table = lookup(rates(docs, weights, alpha)).select(F.col("source").alias(key), F.struct("rate", "pieces", "cdf").alias(mix))
-    base = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    m = F.col(mix)
-    draws = F.transform(F.sequence(F.lit(1), m["pieces"]), lambda i: uniform(F.col(key), i.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda t, u: t + F.size(F.filter(m["cdf"], lambda c: c <= u)))
-    own = docs.join(table, F.col("source").cast("string").eqNullSafe(F.col(key)), "left").withColumn(key, base)
-    counted = own.withColumn(mix, F.struct(count.alias("n_copies"), m["rate"].alias("rate"), F.col(key).alias("base"))).drop(key)
-    copies = counted.where(m["n_copies"] > 0).withColumn(key, F.explode(F.sequence(F.lit(1), m["n_copies"])))
-    made = copies.withColumn(mix, F.struct(m["n_copies"].alias("n_copies"), F.col(key).alias("copy"), m["rate"].alias("rate"), F.md5(F.concat_ws("|", m["base"], F.lit("order"), F.col(key).cast("string"))).alias("shuffle_key"))).drop(key)
-    return made.repartition(m["shuffle_key"]).sortWithinPartitions(m["shuffle_key"])
+def _count(pieces: Column, name: Column, cdf: Column) -> Column:
+    """Sum of the independent counts of some pieces (numbers from 1), each the inverse of the distribution at a hashed uniform number."""
+    draws = F.transform(pieces, lambda i: uniform(name, i.cast("string")))
+    return F.aggregate(draws, F.lit(0), lambda t, u: t + F.size(F.filter(cdf, lambda c: c <= u)))
+
+
+def _part(n: Column, k: Column, chunk: int) -> Column:
+    """The numbers of chunk k (from 0) of 1 to n."""
+    return F.sequence(k * chunk + 1, F.least((k + 1) * chunk, n).cast("int"))
+
+
+def _chunks(n: Column, chunk: int) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))
+
+
+def replicated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+    """docs' columns and a struct `mix` (n_copies, copy, rate, shuffle_key) of each copy, in the order of shuffle_key within partitions dealt by it.
+
+    No array holds more than `chunk` pieces or copies of a document. Documents of sources with more pieces than that are spread over tasks by
+    chunks, both to count and to copy them.
+    """
+    mix, source, rate, pieces, cdf, base, part, n, copy, row = (fresh(x, docs.columns) for x in ("mix", "mix_source", "mix_rate", "mix_pieces", "mix_cdf", "mix_base", "mix_part", "mix_n", "mix_copy", "mix_row"))
+    table = staged(rates(docs, weights, alpha), "rates").select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("pieces").alias(pieces), F.col("cdf").alias(cdf))
+    small = table.count() <= BROADCAST_ROWS
+    of_row = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+    def joined(rows: DataFrame) -> DataFrame:  # every source has a row
+        return docs.join(F.broadcast(rows) if small else rows, F.col("source").cast("string").eqNullSafe(F.col(source))).withColumn(base, of_row).drop(source)
+
+    def copied(counted: DataFrame, spread: bool) -> DataFrame:  # exploded by chunks, then within them; spread: a document's chunks are dealt to all tasks
+        chunks = counted.select(*docs.columns, rate, base, n).where(F.col(n) > 0).withColumn(part, F.explode(_chunks(F.col(n), chunk)))
+        return (chunks.repartition(base, part) if spread else chunks).withColumn(copy, F.explode(_part(F.col(n), F.col(part), chunk))).drop(part)
+
+    copies = copied(joined(table.where(F.col(pieces) <= chunk)).withColumn(n, _count(F.sequence(F.lit(1), F.col(pieces)), F.col(base), F.col(cdf))), False)
+    if (table.agg(F.max(pieces)).first()[0] or 0) > chunk:  # few documents, or they couldn't be repeated so often
+        heavy = staged(joined(table.where(F.col(pieces) > chunk)).withColumn(row, F.monotonically_increasing_id()), "heavy")
+        parts = heavy.select(row, base, cdf, pieces, F.explode(_chunks(F.col(pieces), chunk)).alias(part)).repartition(row, part)
+        sums = parts.groupBy(row).agg(F.sum(_count(_part(F.col(pieces), F.col(part), chunk), F.col(base), F.col(cdf))).cast("int").alias(n))
+        copies = copies.unionByName(copied(heavy.join(sums, row), True))
+    key = F.md5(F.concat_ws("|", F.col(base), F.lit("order"), F.col(copy).cast("string")))
+    made = copies.select(*docs.columns, F.struct(F.col(n).alias("n_copies"), F.col(copy).alias("copy"), F.col(rate).alias("rate"), key.alias("shuffle_key")).alias(mix))
+    return made.repartition(F.col(mix)["shuffle_key"]).sortWithinPartitions(F.col(mix)["shuffle_key"])
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
