@@ -574,7 +574,7 @@ def test_copies_do_not_move_the_band(spark):
     rows = [(i, " ".join(words[x] for x in rng.integers(0, 40 + 3 * i, 150)), "fr") for i in range(120)]
     plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     heavy = plain.unionByName(spark.createDataFrame([(1000 + i, rows[60][1], "fr") for i in range(400)], plain.schema)).repartition(5)
-    counts = [{(r.lang, r.gram): r.n for r in quality_rules.count_grams(df).collect()} for df in (plain, heavy)]
+    counts = [{(r.l, r.gram): r.n for r in quality_rules.count_grams(df).collect()} for df in (plain, heavy)]
     assert counts[0] == counts[1]
     want = {r.doc_id for r in quality_rules.quality_filter(plain).collect()}
     got = [r.doc_id for r in quality_rules.quality_filter(heavy).collect()]
@@ -585,13 +585,108 @@ def test_quality_rules_of_nothing(none):
     assert quality_rules.quality_filter(none).collect() == []
 
 
-def test_kneser_ney_is_a_distribution():
-    text = np.frombuffer(b"abracadabra abracadabra, the cat sat on the mat; a rat ran at the cat." * 3, np.uint8)
-    keys = quality_rules.grams(text, np.array([0, len(text)]))
-    model = [(k.astype(np.uint32), np.log(p), np.log(np.maximum(w, 1e-12))) for k, p, w in quality_rules.fit(*np.unique(keys, return_counts=True))]
-    for history in (keys[30] >> 6, keys[5] >> 6, np.uint32(63 * 64 * 64 + 5)):  # seen and unseen ones
-        every = (np.uint32(history) << np.uint32(6) | np.arange(64, dtype=np.uint32)) & np.uint32((1 << 24) - 1)
+def slow_kneser_ney(texts, order=4):
+    """log_p(history, character) of a plain modified Kneser-Ney model over the distinct texts, with dictionaries."""
+    tables = {order: Counter()}
+    for t in set(texts):
+        padded = "\0" * (order - 1) + t
+        tables[order].update(padded[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    discount, total, spare = {}, defaultdict(float), defaultdict(float)
+    for k, table in tables.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.0
+        discount[k] = [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) if n[i] else 0.5 * y for i in (1, 2, 3)]
+        for g, c in table.items():
+            total[g[:-1]] += c
+            spare[g[:-1]] += discount[k][min(c, 3)]
+
+    # an n-gram of which another one holds the slot is scored by back-off
+    def code(g):
+        return int(quality_rules.hashed(np.array([sum((ord(c) & 0xFFFF) << 16 * i for i, c in enumerate(reversed(g)))], np.uint64).view(np.int64))[0])
+
+    stored = set()
+    for table in tables.values():
+        slots = {}
+        for g, c in table.items():
+            h = code(g)
+            slots[(h % (1 << 64)) >> 42] = max(slots.get((h % (1 << 64)) >> 42, ()), (c, h, g))
+        stored |= {g for _, _, g in slots.values()}
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        history = g[:-1]
+        if history and history not in total:
+            return p(g[1:])
+        c = tables[len(g)][g]
+        return (c - discount[len(g)][min(c, 3)]) / total[history] + spare[history] / total[history] * p(g[1:])
+
+    def score(g):
+        if not g or g in stored:
+            return np.log(max(p(g), 1e-12))
+        return (np.log(max(spare[g[:-1]] / total[g[:-1]], 1e-12)) if (not g[:-1] or g[:-1] in stored) and g[:-1] in total else 0.0) + score(g[1:])
+
+    return score
+
+
+def test_perplexity_and_bands_against_a_slow_model(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = {"en": "abcdefgh AB.", "ru": "абвгде ж", "ja": "日本語の文章です。漢字", None: "xyz😀 é"}
+    rows = []
+    for lang, pool in letters.items():
+        words = ["".join(rng.choice([*pool], rng.integers(1, 6))) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 60)), lang) for i in range(30)]
+    rows += [(200 + i, rows[3][1], "en") for i in range(9)]
+    rows += [(300, "".join(rng.choice([*"qjxzwv KQ"], 400)), "en"), (301, rows[35][1], "en"), (302, "", "en"), (303, None, "ja"), (304, "a b c", "nl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    slow = {lang: slow_kneser_ney([t for _, t, x in rows if x == lang and t]) for lang in {x for _, _, x in rows}}
+    want = {i: -sum(slow[lang](("\0\0\0" + t)[k : k + 4]) for k in range(len(t))) / len(t) if t else 0.0 for i, t, lang in rows}
+    failed = {i: brute_counts(t)[-1] for i, t, _ in rows}
+    cells = {lang: sorted(np.floor(want[i] * 200) for i in {t: i for i, t, x in reversed(rows) if x == lang and not failed[i]}.values()) for lang in slow}
+    for limit in (quality_rules.MODEL_BYTES, 1):  # in one pass, and in one for each language
+        monkeypatch.setattr(quality_rules, "MODEL_BYTES", limit)
+        out, column, kept = quality_rules.judged(df, ["doc_id"])
+        got = {r.doc_id: (r[column].log_ppl, r[kept]) for r in out.collect()}
+        for i, t, lang in rows:
+            assert abs(got[i][0] - want[i]) < 1e-4, (i, lang)
+            if failed[i]:
+                assert not got[i][1]
+            elif cells[lang]:
+                q1, q2, q3 = (next(c for k, c in enumerate(cells[lang]) if k + 1 >= q * len(cells[lang])) / 200 + 0.0025 for q in (0.25, 0.5, 0.75))
+                low, high = q2 - 8 * max(q2 - q1, 0.01), q2 + 8 * max(q3 - q2, 0.01)
+                assert got[i][1] == (low <= want[i] <= high), i
+        assert not got[300][1] and got[200][1]  # random letters go
+
+
+def test_bands_reject_planted_salad_and_foreign_text(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = docs.where("lang = 'de' AND length(text) > 600").orderBy("doc_id").limit(8).select(F.col("doc_id") + 10**6, "text", F.lit("en"))
+    rng = np.random.default_rng(3)
+    salad = [(2 * 10**6 + i, " ".join("".join(rng.choice([*"qwertzuiopasdfghjklyxcvbnm"], rng.integers(3, 9))) for _ in range(150)), "en") for i in range(8)]
+    kept = {r.doc_id for r in quality_rules.quality_filter(docs.unionByName(spark.createDataFrame(salad, docs.schema)).union(foreign)).collect()}
+    assert not any(i >= 10**6 for i in kept)
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+    passed = {r.doc_id for r in docs.collect() if not brute_counts(r.text)[-1]} & good
+    assert len(passed & kept) >= 0.98 * len(passed)
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    text = "abracadabra abracadabra, the cat sat on the mat; a rat ran at the cat. été 日本 " * 3
+    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, lang string")
+    fitted = quality_rules.fitted(quality_rules.count_grams(df))
+    model = next(iter(quality_rules.loaded(quality_rules.models(fitted).toArrow()).values()))
+    assert all((np.diff(h) > 0).all() for h, _, _ in model)
+    raw = text.encode()
+    keys = quality_rules.grams(*quality_rules.characters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    assert [chr(k & 0xFFFF) for k in keys.tolist()] == [*text]
+    for history in (int(keys[30]) & ((1 << 48) - 1), int(keys[5]) & ((1 << 48) - 1), 0x3FFF00410041):  # seen and unseen ones
+        every = (np.uint64(history) << np.uint64(16) | np.arange(65536, dtype=np.uint64)).view(np.int64)
         assert abs(np.exp(quality_rules.log_probabilities(model, every)).sum() - 1) < 1e-3
+    few = next(iter(quality_rules.loaded(quality_rules.models(fitted, 5).toArrow()).values()))
+    assert max(len(h) for h, _, _ in few) <= 32 and np.isfinite(quality_rules.log_probabilities(few, keys)).all()
 
 
 # ---- 10 ----
