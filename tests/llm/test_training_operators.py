@@ -679,6 +679,7 @@ def test_kneser_ney_is_a_distribution(spark):
     fitted = quality_rules.fitted(quality_rules.count_grams(df))
     model = next(iter(quality_rules.loaded(quality_rules.models(fitted).toArrow()).values()))
     assert all((np.diff(h) > 0).all() for h, _, _ in model)
+    model = quality_rules.ready(model)
     raw = text.encode()
     keys = quality_rules.grams(*quality_rules.characters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
     assert [chr(k & 0xFFFF) for k in keys.tolist()] == [*text]
@@ -686,7 +687,7 @@ def test_kneser_ney_is_a_distribution(spark):
         every = (np.uint64(history) << np.uint64(16) | np.arange(65536, dtype=np.uint64)).view(np.int64)
         assert abs(np.exp(quality_rules.log_probabilities(model, every)).sum() - 1) < 1e-3
     few = next(iter(quality_rules.loaded(quality_rules.models(fitted, 5).toArrow()).values()))
-    assert max(len(h) for h, _, _ in few) <= 32 and np.isfinite(quality_rules.log_probabilities(few, keys)).all()
+    assert max(len(h) for h, _, _ in few) <= 32 and np.isfinite(quality_rules.log_probabilities(quality_rules.ready(few), keys)).all()
 
 
 # ---- 10 ----

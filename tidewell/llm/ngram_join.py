@@ -393,8 +393,8 @@ def _classified(docs: DataFrame, threshold: float, target: float, report: dict |
     all_rows = staged(sketches(docs), "sketches")
     nodes = staged(all_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
     groups = candidate_groups(nodes.select("node", "sig"), target, report)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    active = staged(groups.join(sizes, "root").join(nodes.select("node", "doc_id", "copies"), "node"), "members")
+    sizes = staged(groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    active = staged(groups.join(_small(sizes), "root").join(nodes.select("node", "doc_id", "copies"), "node"), "members")
     sets = _sets(docs, active)
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit("verify")), n_blocks.cast("long")).cast("int")
@@ -407,9 +407,9 @@ def _classified(docs: DataFrame, threshold: float, target: float, report: dict |
     found = staged(jobs.repartition("job", "x", "y").sortWithinPartitions("job", "x", "y").mapInArrow(_verify(threshold), "a long, b long, n long"), "verified")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
-    of_node = staged(nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "node-classes")
-    least = of_node.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_node = of_node.join(least, "root").select("node", "root", "class_id", "n_links")
+    of_node = staged(nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "node-classes")
+    least = staged(of_node.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
+    by_node = of_node.join(_small(least), "root", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
     out = all_rows.select("doc_id", "node").join(by_node, "node", "left")
     return out.select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
