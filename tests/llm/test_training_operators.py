@@ -101,8 +101,9 @@ def test_rules_compile_to_what_numpy_says(spark, docs):
 def test_lm_learns_and_scores(spark, docs, odd, none):
     got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs).collect()}
     assert len(got) == docs.count()
-    mean = sum(r.log_likelihood for r in got.values()) / sum(r.n_tokens for r in got.values())
-    assert mean > -np.log(lm_scoring.VOCABULARY) + 0.5  # better than no model
+    classes, whole = (sum(r[c] for r in got.values()) / sum(r.n_tokens for r in got.values()) for c in ("class_log_likelihood", "log_likelihood"))
+    assert classes > -np.log(lm_scoring.VOCABULARY) + 0.5  # better than no model of classes, and of all ids
+    assert classes > whole > -np.log(lm_scoring.SHAPES << lm_scoring.ID_BITS) + 4
     rows = lm_scoring.pseudo_likelihood(odd).collect()
     assert len(rows) == len(ODD)
     by = {r.doc_id: r for r in rows}
@@ -126,6 +127,82 @@ def test_lm_training_predicts_every_token_once():
         assert sorted(found) == list(range(5000))
 
 
+def slow_scores(rows, model):
+    """doc_id -> (tokens, log-likelihood), token by token; word hashes are looked up, all else is plain Python."""
+    net = lm_scoring.Network(lm_scoring.VOCABULARY, lm_scoring.WINDOW, lm_scoring.WIDTH).load(model.weights)
+    e, b, w, c = (p.astype(np.float64) for p in net.parts)
+    known, out = {h: 1 + i for i, h in enumerate(sorted(model.known.tolist()))}, {}
+    for i, text in rows:
+        words = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        ids, within = [], 0.0
+        for x in words:
+            h = int(lm_scoring.word_hashes(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0])
+            letter = chr(x[-1]).isascii() and not chr(x[-1]).isalnum()
+            shape = min(len(x), 16) - 1 + 16 * (65 <= x[0] <= 90) + 32 * letter
+            ids.append(known.get(h, 1 + len(known) + shape))
+            within += 0 if h in known else float(model.within[shape * 65536 + h % 65536])
+        total = within
+        for k, y in enumerate(ids):
+            hidden = b.copy()
+            for j, d in enumerate((-2, -1, 1, 2)):
+                hidden += e[j][ids[k + d] if 0 <= k + d < len(ids) else 0]
+            z = np.tanh(hidden) @ w + c
+            total += z[y] - z.max() - np.log(np.exp(z - z.max()).sum())
+        out[i] = (len(ids), total)
+    return out
+
+
+def test_lm_scores_against_a_slow_model_whatever_the_layout(spark, docs):
+    some = docs.where("length(text) < 3000").orderBy("doc_id").limit(60).select("doc_id", "text")
+    model = lm_scoring.fit(some)
+    got = {r.doc_id: r for r in lm_scoring.score(some, model).collect()}
+    for i, (n, total) in slow_scores([(r.doc_id, r.text) for r in some.collect()], model).items():
+        assert got[i].n_tokens == n and abs(got[i].log_likelihood - total) < 1e-3 * max(1, n)
+    for parts in (1, 5):
+        other = {r.doc_id: r.log_likelihood for r in lm_scoring.pseudo_likelihood(some.repartition(parts)).collect()}
+        assert all(abs(other[i] - r.log_likelihood) < 1e-3 * max(1, r.n_tokens) for i, r in got.items())
+
+
+def test_lm_tells_rare_words_apart(spark):
+    rows = [(i, "the cat sat on the mat " * 20 + ("gurgle " * 30 if i < 50 else "")) for i in range(100)]
+    model = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(model.known.tolist()) == set(lm_scoring.word_hashes(np.frombuffer(b"the cat sat on mat gurgle", np.uint8), np.array([0, 25]))[0].tolist())
+    model.known = model.known[:0]
+    lm = {r.doc_id: r.log_likelihood for r in lm_scoring.score(spark.createDataFrame([(1, "cat"), (2, "xyz")], "doc_id long, text string"), lm_scoring.Model(model.known, lm_scoring.vocabulary(spark.createDataFrame([], "doc_id long, text string"))[1], model.weights)).collect()}
+    assert abs(lm[1] - lm[2]) < 1e-6  # without counts they differ in nothing
+    many = spark.createDataFrame([(0, " ".join(f"common{i}" for i in range(300)) + " common299 zzzzzz qqqqqq" + " qqqqqq" * 9)] + [(i + 1, " ".join(f"w{k}" for k in range(250)) * 3) for i in range(3)], "doc_id long, text string")
+    fitted = lm_scoring.fit(many)
+    two = {r.doc_id: r.log_likelihood for r in lm_scoring.score(spark.createDataFrame([(1, "zzzzzz"), (2, "yyyyyy")], "doc_id long, text string"), fitted).collect()}
+    assert two[1] > two[2] + 0.5  # a word that came is likelier than one of its shape that never did
+
+
+def test_lm_beats_unigrams_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    model = lm_scoring.fit(docs.where("doc_id % 5 > 0"))
+    held = docs.where("doc_id % 5 = 0")
+    got = lm_scoring.score(held, model).agg(F.sum("class_log_likelihood").alias("s"), F.sum("n_tokens").alias("n")).first()
+    counts = [np.zeros(lm_scoring.VOCABULARY) for _ in range(2)]
+    for n, part in zip(counts, (docs.where("doc_id % 5 > 0"), held), strict=True):
+        for r in lm_scoring.tokenised(part, model.known, model.within).collect():
+            n += np.bincount(np.frombuffer(r.ids, np.uint8), minlength=lm_scoring.VOCABULARY)
+    unigram = (counts[1] * np.log((counts[0] + 1) / (counts[0] + 1).sum())).sum() / counts[1].sum()
+    assert got.s / got.n > unigram + 0.15
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 12, (40, 4)).astype(np.int32), rng.integers(0, 12, 40)
+    loss = lambda net: -float(net.logs(x, y).astype(np.float64).mean())
+    moved = lm_scoring.Network(12, 2, 5)
+    flat = moved.flat().copy()
+    moved.train(x, y, [np.full_like(p, 1e-4) for p in moved.parts], 0.01)
+    for i in rng.integers(0, len(flat), 40).tolist():
+        step = np.zeros_like(flat)
+        step[i] = 1e-2
+        g = (loss(lm_scoring.Network(12, 2, 5).load(flat + step)) - loss(lm_scoring.Network(12, 2, 5).load(flat - step))) / 2e-2
+        assert abs(moved.flat()[i] - flat[i] + 0.01 * g / np.sqrt(1e-4 + g * g)) < 2e-3
+
+
 # ---- 3 ----
 
 

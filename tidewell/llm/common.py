@@ -62,7 +62,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """(first row, bytes, offsets) of consecutive rows with about `limit` bytes each; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) or pa.types.is_string(column.type) else column
+    if column.type != pa.large_binary():
+        column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
     if not len(column):
