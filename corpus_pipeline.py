@@ -1,7 +1,14 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage but the last returns rows with the columns of documents. ORACLE_SQL is None: perplexity bands and token ids can't be
-expressed in SQL, so the stages are tested against brute-force versions.
+expressed in SQL, so every stage is tested against a brute-force version on its own input (tests/llm).
+
+The files of the last stage hold the documents in ascending doc_id order, as the encoder's format has it; what the mixing stage's global
+shuffle decides is the order of the table it writes.
+
+Defined cases: null and wordless texts fail the quality rules and go; equal rows are near copies of each other, of which one stays; a null
+doc_id is kept, its rows are told apart by their words; a null source is a source of its own; columns beside those of documents are carried
+through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import relational, texts  # noqa: E402, F401
+from . import listings, relational, texts  # noqa: E402, F401

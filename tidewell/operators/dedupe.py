@@ -34,6 +34,24 @@ def united(order: str, items: Column, cap: int) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), items.alias("items")))), lambda s: F.coalesce(s["items"], F.array().cast("array<string>"))))), 1, cap)
 
 
+def united_lists(rows: DataFrame, group: str, order: str, lists: dict[str, tuple[Column, int]]) -> DataFrame:
+    """A row for each group with the lists' distinct items, in the rows' order and then the items' own, each list cut to its number.
+
+    Only the first place of each distinct item is kept before a group's items meet, so a group of any number of rows fits.
+    """
+    kind = "array<struct<list:string,pos:int,item:string>>"
+    entries = [_entries(name, items, kind) for name, (items, _) in lists.items()]
+    every = rows.select(F.col(group), F.col(order).alias("_o"), F.explode(F.concat(*entries)).alias("_e")).select(group, "_o", "_e.*")
+    firsts = every.groupBy(group, "list", "item").agg(F.min(F.struct("_o", "pos")).alias("at"))
+    own = lambda name, cap: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("at", "item")))), lambda s: s["item"]), 1, cap)
+    return firsts.groupBy(group).agg(*(own(name, cap).alias(name) for name, (_, cap) in lists.items()))
+
+
+def _entries(name: str, items: Column, kind: str) -> Column:
+    made = F.transform(items, lambda x, i: F.struct(F.lit(name).alias("list"), i.alias("pos"), x.alias("item")))
+    return F.coalesce(made.cast(kind), F.array().cast(kind))
+
+
 def dedupe(listings: DataFrame) -> DataFrame:
     """One listing for each fingerprint: the winner's fields, the earliest date, pay from whoever has it, united lists, where else it was posted."""
     ranked = winners(listings, "fingerprint", source_priority(F.col("sourceId")), F.length("description"), F.col("postedAt"), F.col("_ord"))
@@ -43,12 +61,13 @@ def dedupe(listings: DataFrame) -> DataFrame:
     )
     group = ranked.groupBy("fingerprint").agg(
         F.min("postedAt").alias("_earliest"), F.min_by(F.col("salary"), F.when(F.col("salary.min").isNotNull(), F.col("_ord"))).alias("_pay"), F.max("relevanceScore").alias("_relevance"), F.count(F.lit(1)).cast("int").alias("_copies"), others.alias("_others"),
-        *(united("_ord", F.col("requirements")[k], cap).alias(f"_{k}") for k, cap in UNION_CAPS.items()),
     )
-    out = ranked.where("election = 1").join(group, "fingerprint")
+    wanted = united_lists(listings, "fingerprint", "_ord", {f"_{k}": (F.col("requirements")[k], cap) for k, cap in UNION_CAPS.items()})
+    out = ranked.where("election = 1").join(group, "fingerprint").join(wanted, "fingerprint", "left")
+    none = F.array().cast("array<string>")
     lists = F.col("requirements")
     for k in UNION_CAPS:
-        lists = lists.withField(k, F.col(f"_{k}"))
+        lists = lists.withField(k, F.coalesce(F.col(f"_{k}"), none))
     # the rank score, expiry and years stay as they were computed for the winner
     out = out.withColumns({
         "postedAt": F.coalesce("_earliest", "postedAt"), "salary": F.when(F.col("salary.min").isNull(), F.coalesce("_pay", "salary")).otherwise(F.col("salary")), "requirements": lists,

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidewell.operators.filters import city_label
 
 
+#: Slices of a facet's values, by hash, that are cut to the limit before they are ranked together.
+SLICES = 64
+
+
 @dataclass(frozen=True)
 class Facet:
     """name, the values of a row (an array column), how many to keep, labels of values."""
@@ -35,7 +39,11 @@ def facet_counts(rows: DataFrame, facets: list[Facet]) -> DataFrame:
     """facet, value, label, n, rank of all facets in one pass: rows are exploded to (facet, value), counted before the shuffle, and ranked within facets."""
     pairs = F.flatten(F.array(*map(_pairs, facets)))
     counted = rows.select(F.explode(pairs).alias("p")).select("p.*").where(F.coalesce(F.col("value"), F.lit("")) != "").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.collate("value", "UNICODE"), "value")))
+    # a facet can have any number of values: each of its slices keeps its first ones, and what they keep is ranked
+    order = [F.desc("n"), F.collate("value", "UNICODE"), "value"]
+    slices = counted.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(SLICES)))
+    kept = slices.withColumn("place", F.row_number().over(Window.partitionBy("facet", "slice").orderBy(*order))).where(F.col("place") <= max(f.limit for f in facets)).drop("slice", "place")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(*order)))
     limits = F.create_map(*(F.lit(x) for f in facets for x in (f.name, f.limit)))
     label = F.col("value")
     for f in facets:
