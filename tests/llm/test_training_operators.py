@@ -39,6 +39,7 @@ def sent(spark):
 def odd(spark):
     """Odd rows, with columns whose names the operators use themselves."""
     extra = ["words", "node", "mix", "row", "g", "part", "quality_metrics", "at", "raw", "f", "spans"]
+    extra += ["mix_source", "mix_n", "mix_copy", "mix_row", "text_key", "want", "want_id", "hit_key", "drop_id", "own_id", "first_id", "quality_kept", "quality_lang", "quality_key", "text_in", "lang_in", "group_in", "band_lang", "low", "l", "deal", "ids", "within", "key", "copies", "shard", "held_out", "score"]
     df = spark.createDataFrame(ODD, SCHEMA)
     return df.withColumns({x: F.lit(1) for x in extra}).repartition(3)
 
@@ -95,6 +96,35 @@ def test_rules_compile_to_what_numpy_says(spark, docs):
     assert np.allclose(got, 1 / (1 + np.exp(-z[:50])))
 
 
+def slow_statistics(text):
+    t = text or ""
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], t.split("\n")
+    n, few = max(1, len(words)), max(1, len(set(words)))
+    share = lambda pattern: len(re.findall(pattern, t)) / n
+    return [
+        np.log1p(len(words)), len(t) / n, len(set(words)) / n, len(words) / few, n / len(lines), len(lines) / len(set(lines)), share("[A-Z]{2,}"), share(r"[#*$%&|<>]+"), share(r"[!?]{2,}"), share(r"\x20\|\x20"), share(r"[.,;:]+"), share("[0-9]+")
+    ]
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_statistics_against_plain_python(request, table):
+    df = request.getfixturevalue(table)
+    f = F.col("f")
+    got = quality_classifier.with_features(df.select("doc_id", "text"), ["doc_id", "text"]).select("text", *(f[n].alias(n) for n in quality_classifier.NAMES)).collect()
+    for r in got:
+        assert np.allclose([r[n] for n in quality_classifier.NAMES], slow_statistics(r.text)), r.text
+
+
+def test_scores_are_those_of_the_rules(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    found, w, b = quality_classifier.learn(docs, labels)
+    rows = {r.doc_id: r for r in quality_classifier.quality_scores(docs, labels).collect()}
+    for r in docs.collect():
+        x = np.array([slow_statistics(r.text)])
+        z = b + sum(wi * quality_classifier.holds(x, rule)[0] for rule, wi in zip(found, w, strict=True))
+        assert abs(rows[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9 and rows[r.doc_id].predicted == (rows[r.doc_id].score >= 0.3)
+
+
 # ---- 2 ----
 
 
@@ -831,12 +861,78 @@ def test_token_output_of_nothing(none):
 # ---- the pipeline ----
 
 
+def slow_quality(rows):
+    """doc_ids that pass the base rules and lie within their language's band, from the slow model."""
+    slow = {lang: slow_kneser_ney([r.text for r in rows if r.lang == lang and r.text]) for lang in {r.lang for r in rows}}
+    ppl = {(r.lang, r.text): -sum(slow[r.lang](("\0\0\0" + r.text)[k : k + 4]) for k in range(len(r.text))) / max(1, len(r.text)) for r in rows if r.text}
+    kept = []
+    for r in rows:
+        if brute_counts(r.text)[-1]:
+            continue
+        cells = sorted(np.floor(v * 200) for (lang, t), v in ppl.items() if lang == r.lang and not brute_counts(t)[-1])
+        q1, q2, q3 = (next(c for k, c in enumerate(cells) if k + 1 >= q * len(cells)) / 200 + 0.0025 for q in (0.25, 0.5, 0.75))
+        if q2 - 8 * max(q2 - q1, 0.01) <= ppl[r.lang, r.text] <= q2 + 8 * max(q3 - q2, 0.01):
+            kept.append(r.doc_id)
+    return Counter(kept)
+
+
+def slow_mixing(rows):
+    """(doc_id, text) of every copy: counts by inverting the distribution term by term."""
+    n, out = Counter(r.source for r in rows), Counter()
+    shares = sum(v**0.5 for v in n.values())
+    for r in rows:
+        rate = n[r.source] ** 0.5 / shares * len(rows) / n[r.source]
+        base = hashlib.md5(f"{mixing.SEED}|{'' if r.doc_id is None else r.doc_id}|{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()
+        u = int(hashlib.md5(f"{base}|1".encode()).hexdigest()[:12], 16) / 2**48
+        k, p, below = 0, np.exp(-rate), np.exp(-rate)
+        while below <= u:
+            k += 1
+            p *= rate / k
+            below += p
+        assert rate <= mixing.PIECE
+        out[r.doc_id, r.text] += k
+    return +out
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    have = docs
+    benchmark = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    have, tables = docs, [docs.collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         have = stage(spark, have, DATA)
         assert have.columns == docs.columns, name
-    assert corpus_pipeline.run(spark, DATA).count() == have.count() > 0
+        tables.append(have.collect())
+        have = spark.createDataFrame(tables[-1], docs.schema)
+    ids = [Counter(r.doc_id for r in rows) for rows in tables]
+    assert ids[1] == slow_quality(tables[0])
+    classes = defaultdict(list)
+    for i, c, _ in brute_pairs(tables[1]):
+        classes[c].append(i)
+    assert ids[2] == Counter(min(x) for x in classes.values())
+    assert ids[3] == Counter(r.doc_id for r in tables[2] if not brute_windows(r.text, benchmark)[1])
+    assert Counter((r.doc_id, r.text) for r in tables[4]) == slow_mixing(tables[3])
+    t, want, at = token_output.encoder("byte_bpe_50k.json").tokenizer, [], 0
+    for r in sorted(tables[4], key=lambda r: (r.doc_id, r.text)):
+        x = [*t.encode(r.text, add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        at += len(x)
+    assert Counter(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == Counter(want) and want
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, benchmark, tmp_path):
+    import corpus_pipeline
+
+    long = spark.createDataFrame([(i, " ".join(f"{LINE} {k} {j}" for k in range(8)), "en", s, 1) for j, (i, s) in enumerate([(20, "a"), (20, "b"), (None, None), (None, "a"), (21, None)])], SCHEMA)
+    own = odd.unionByName(long.withColumns({x: F.lit(1) for x in odd.columns[5:]}))
+    for table, count in ((own, None), (none, 0)):
+        folder = f"{tmp_path}/{count}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert count is None or len(rows) == count
+        have = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            have = stage(spark, have, folder)
+            assert have.columns == table.columns

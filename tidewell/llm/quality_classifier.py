@@ -7,7 +7,7 @@ which scores all documents. Rows whose crc32(doc_id as text) mod 5 is 0 are held
 inputs of a score.
 
 Defined cases: null texts count as empty, and have statistics and a score; labels that are null or not 0 or 1 aren't learnt from; with no label to
-learn from, or only one kind, every score is the base rate (0.5 without labels); equal texts get equal scores; extra columns are ignored.
+learn from, or only one kind, every score is the base rate (0.5 without labels); of rows that share a doc_id one is learnt from; equal texts get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = staged(usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)), "sample")  # about `sample` rows
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of rows that share a doc_id one counts, so that the sample's bound holds for rows too
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = with_features(own, ["doc_id", "quality"]).select("quality", *(F.col("f")[n].alias(n) for n in NAMES), "doc_id").toPandas().sort_values(["doc_id", *NAMES])
     return fit(rows[NAMES].to_numpy(float), rows["quality"].to_numpy(float))
 

@@ -9,7 +9,8 @@ File format (one row per document, in Parquet files that Spark commits, so a los
   words          little-endian 64-bit words; the top 4 bits select how many ids of what width the low 60 bits hold
 
 Selectors 0-12 hold several ids; selector 13 is the escape: one id that no other width holds, up to 60 bits.
-Defined cases: null text counts as empty (one end id); equal doc_ids are ordered by text; a null doc_id comes first; extra columns are ignored.
+Defined cases: null text counts as empty (one end id); equal doc_ids are ordered by text; a null doc_id comes first; extra columns are ignored;
+an empty table gives empty files and an empty result.
 """
 
 from __future__ import annotations
