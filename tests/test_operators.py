@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import rules
+from tidewell.functions import geo, rules
 from tidewell.operators import dedupe, facets, filters, merge, search, views
 from tidewell.plans import normalize as plan
 from tidewell.schema import LISTING, RAW
@@ -105,6 +105,48 @@ def test_merge_repeated_ids(spark):
     assert merge.sanity_check(20, 9) and merge.sanity_check(5, 0) and merge.sanity_check(20, 10) is None
 
 
+def test_merge_null_and_hot_ids(spark):
+    """Rows without an id never meet; only the first of an id's many rows takes over what was known."""
+    kind = "id string, firstSeenAt timestamp, lastSeenAt timestamp, isExpired boolean, isRepost boolean, repostOf string, _ord long"
+    old = spark.createDataFrame([(None, None, NOW, False, False, None, 0), ("h", datetime(2024, 1, 1), NOW, False, False, None, 1), ("h", datetime(2024, 2, 1), NOW, False, False, None, 2)], kind)
+    new = spark.createDataFrame([(None, None, None, False, False, None, n) for n in range(3)] + [("h", None, None, False, False, None, n) for n in range(3, 40)], kind)
+    got = merge.merge_snapshots(old, new, NOW).orderBy("_ord").collect()
+    assert [r.merge_status for r in got] == ["added"] * 3 + ["refreshed"] + ["added"] * 36 and got[3].firstSeenAt == datetime(2024, 2, 1)
+
+
+def test_overlay(spark):
+    stored = spark.createDataFrame([("a", True, datetime(2024, 1, 1)), ("b", None, None)], "id string, is_expired boolean, first_seen_at timestamp")
+    payload = spark.createDataFrame([(x, False, NOW) for x in "abc"], "id string, isExpired boolean, firstSeenAt timestamp")
+    got = [tuple(r) for r in merge.overlay(payload, stored).orderBy("id").collect()]
+    assert got == [("a", True, datetime(2024, 1, 1)), ("b", False, NOW), ("c", False, NOW)]
+
+
+def test_region_of(spark):
+    places = [geo.Place("Toronto", "GTA"), geo.Place("Toronto", "other"), geo.Place("Ottawa", "East")]
+    cities = spark.createDataFrame([("Ottawa",), ("Toronto",), ("Paris",), (None,)], "city string")
+    assert [r[0] for r in cities.select(geo.region_of(F.col("city"), places)).collect()] == ["East", "GTA", None, None]
+    assert cities.limit(1).select(geo.region_of(F.col("city"), [])).first()[0] is None
+
+
+def test_places_inside_words(spark):
+    """The longest of the needles that stand inside; short ones don't count, and neither do texts shorter than any."""
+    rows = [("Northbayville", None), ("xNorth Bay Easty", None), ("abcd", None), ("", None), (None, None)]
+    texts = spark.createDataFrame(rows, "place_text string, x int")
+    places = spark.createDataFrame([("North", "n", [], 0), ("North Bay", "b", ["northbay"], 1), ("abc", "a", [], 2)], "name string, region string, aliases array<string>, ord int")
+    assert {r._text: r.place for r in geo.match_places(texts, "place_text", places).collect()} == {"Northbayville": "North Bay", "xNorth Bay Easty": "North Bay"}
+
+
+def test_dashboard_lists(listings):
+    rows = plan.accepted(listings)
+    got = {}
+    for r in facets.top_lists(rows, facets.dashboard_lists(), F.col("_ord")).orderBy("list", "rank").collect():
+        got.setdefault(r.list, []).append((r.value, r.n))
+    assert set(got) == {"category", "experience", "region", "city", "technologies", "employers", "source"}
+    assert got["region"][0][0] == "GTA" and ("Remote (Canada)", 1) in got["region"] and sum(n for _, n in got["source"]) == rows.count()
+    few = facets.top_lists(rows, [facets.Facet("tech", F.col("requirements.technologies"), 1)], F.col("_ord")).collect()
+    assert [(r.value, r.rank) for r in few] == [("Spark", 1)]
+
+
 def test_upper_median_and_trend(spark):
     from datetime import date
 

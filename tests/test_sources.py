@@ -44,10 +44,50 @@ def test_other_boards(spark):
     assert read(spark, "arbeitnow", {"data": [{"title": "T", "slug": "s", "remote": True, "tags": ["a", "b"]}]})[0].departmentRaw == "a, b"
     assert read(spark, "smartrecruiters", {"content": [{"id": "i", "name": "T", "jobAd": {"sections": {"x": {"title": "H", "text": "t"}}}}]})[0].description == "<h3>H</h3>t"
     assert read(spark, "remotive", {"jobs": [{"id": 3, "title": "T", "url": "u"}]})[0].remoteHint
-    assert read(spark, "workday", {"jobPostings": [{"title": "T", "externalPath": "/p", "bulletFields": ["R1"]}]})[0].sourceJobId == "tok:R1"
     assert read(spark, "lever", "not json") == []
 
 
+def test_workday_details(spark):
+    token = "acme@acme.example.com/Careers#Toronto"
+    posts = [{"title": "Data clerk", "externalPath": "/job/1", "bulletFields": ["R1", "Full"], "postedOn": "Posted 3 Days Ago"}, {"title": "Cook", "externalPath": "/job/2", "locationsText": "Remote, ON", "postedOn": "Posted Yesterday"}, {"title": "no path"}]
+    again = [{"title": "Data clerk", "externalPath": "/job/1"}, {"title": "Data entry", "externalPath": "/job/3", "startDate": "2024-05-01"}]
+    pages = spark.createDataFrame([(token, "Acme (Canada)", json.dumps({"jobPostings": p}), n) for n, p in enumerate([posts, again, []])] + [(token, "Acme", None, 9)], "token string, label string, payload string, ord long")
+    now = datetime(2024, 6, 1, 12)
+    rows = {r.sourceJobId: r for r in c.read_workday(pages, now).collect()}
+    assert sorted(rows) == ["acme:/job/1", "acme:/job/2", "acme:/job/3"]
+    one = rows["acme:/job/1"]
+    assert (one.sourceUrl, one.company, one.locationRaw, one.description, one.postedAt) == ("https://acme.example.com/Careers/job/1", "Acme", "Toronto", "R1 · Full", "2024-05-29T12:00:00.000Z")
+    assert rows["acme:/job/2"].remoteHint and rows["acme:/job/2"].postedAt == "2024-05-31T12:00:00.000Z" and rows["acme:/job/3"].postedAt.startswith("2024-05-01")
+    wanted = c.workday_targets(c.read_workday(pages, now), ["data engineer", " "]).collect()
+    assert [(r.sourceJobId, r.detail_url) for r in wanted] == [("acme:/job/1", "https://acme.example.com/wday/cxs/acme/Careers/job/1"), ("acme:/job/3", "https://acme.example.com/wday/cxs/acme/Careers/job/3")]
+    assert c.workday_targets(c.read_workday(pages, now), ["data"], 1).count() == 1 and c.workday_targets(c.read_workday(pages, now), []).count() == 0
+    info = {"jobDescription": "<p>D</p>", "location": "Ottawa", "additionalLocations": ["Hull", ""], "timeType": "Full time", "remoteType": "On site", "externalUrl": "https://e"}
+    details = spark.createDataFrame([("acme:/job/1", json.dumps({"jobPostingInfo": info}), 1), ("acme:/job/1", "{}", 0), ("acme:/job/2", "not json", 0)], "sourceJobId string, payload string, ord long")
+    full = {r.sourceJobId: r for r in c.read_workday(pages, now, details).collect()}
+    got = full["acme:/job/1"]
+    assert (got.description, got.descriptionIsHtml, got.locationRaw, got.employmentTypeRaw, got.remoteHint, got.applyUrl, got.postedAt) == ("<p>D</p>", True, "Ottawa / Hull", "Full time", False, "https://e", one.postedAt)
+    assert full["acme:/job/2"] == rows["acme:/job/2"] and len(full) == 3
+
+
+def test_boards_with_several_payloads(spark):
+    """Second pages, repeats, rows without what a listing needs, and payloads that are null or broken."""
+    page = lambda *jobs: json.dumps({"jobs": list(jobs)})
+    job = lambda i, **more: {"id": i, "title": f"T{i}", "absolute_url": f"u{i}", **more}
+    landed = [("a", "A", page(job(1), job(2)), 0), ("a", "A", page(job(2, title="again"), job(3, company_name="Firm")), 1), ("b", "B", page(job(1), {"id": 9, "title": None, "absolute_url": "u"}), 2), ("b", "B", None, 3), ("c", "C", "{broken", 4), ("c", "C", '{"jobs": null}', 5), ("c", "C", "[]", 6)]
+    df = spark.createDataFrame(landed, "token string, label string, payload string, ord long")
+    rows = c.read_payloads(df, c.source_by_id("greenhouse")).orderBy("_ord").collect()
+    assert [(r.sourceJobId, r.title, r.company) for r in rows] == [("a:1", "T1", "A"), ("a:2", "T2", "A"), ("a:3", "T3", "Firm"), ("b:1", "T1", "B")]
+    assert c.read_payloads(df.limit(0), c.source_by_id("greenhouse")).count() == 0
+
+
+def test_source_status(spark):
+    from tidewell.sources import snapshots
+
+    rows = snapshots.source_status(spark, c.SOURCES, c.enabled_sources([], ["lever"])).orderBy("place").collect()
+    assert [r.id for r in rows] == [s.id for s in c.SOURCES]
+    assert [(r.id, r.reason) for r in rows if not r.enabled] == [("lever", "not selected")]
+
+
 def test_result_pages(spark):
     html = '<article><a href="/jobsearch/jobposting/123?x=1"><h3><span class="noctitle"> 1 data clerk </span></h3><ul><li class="date">Posted on May 30, 2024</li><li class="business">Acme</li><li class="location"><span class="wb-inv">Location</span> Toronto</li><li class="salary">Salary: $20 hourly</li></ul></a></article><article>none</article>'
     r = c.read_result_pages(spark.createDataFrame([(html, 0)], "html string, ord long"), "https://x.example").collect()
@@ -85,6 +125,18 @@ def test_merge_stream(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/store/batch=1").collect()) == ["a", "b"]
 
 
+def test_an_empty_snapshot_is_a_snapshot(spark, tmp_path):
+    kind = "id string, firstSeenAt timestamp, lastSeenAt timestamp, isExpired boolean, isRepost boolean, repostOf string, _ord long"
+    days = [datetime(2024, 1, 1), datetime(2024, 3, 1), datetime(2024, 3, 2)]
+    batches = [[("a", days[0], days[0], False, False, None, 0)], [], [("b", days[2], days[2], False, False, None, 0)]]
+    for n, (rows, at) in enumerate(zip(batches, days)):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*")
+        ingest.merge_stream(stream, f"{tmp_path}/store", f"{tmp_path}/cp", kind, lambda at=at: at, retention=21).awaitTermination()
+    held = [sorted(r.id for r in spark.read.schema(kind).parquet(f"{tmp_path}/store/batch={n}").collect()) for n in range(3)]
+    assert held == [["a"], [], ["b"]]
+
+
 def test_stream_counts(spark, tmp_path):
     spark.createDataFrame([(datetime(2024, 1, 1),), (datetime(2024, 1, 1, 5),), (datetime(2024, 3, 1),)], "ts timestamp").write.parquet(f"{tmp_path}/in")
     q = ingest.daily_counts(spark.readStream.schema("ts timestamp").parquet(f"{tmp_path}/in"), "ts").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()

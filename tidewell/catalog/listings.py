@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidewell.functions import geo, rules, salary, text
-from tidewell.operators import dedupe, search
+from tidewell.operators import dedupe, facets, search
 from tidewell.operators.filters import Filters
 from tidewell.plans import normalize as plan
 
@@ -176,3 +176,15 @@ SELECT facet, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY facet O
 """)
 def search_listings_facets(t):
     return search.search(stored_listings(t), Filters(q="acme"), NOW).facets.select("facet", "value", "n", "rank")
+
+
+@query(f"""{_MADE},
+a AS (SELECT *, CASE WHEN contains(t, 'Engineer') THEN 'engineering' WHEN contains(t, 'Clerk') THEN 'office' WHEN contains(d, 'Spark') THEN 'engineering' ELSE 'other' END AS category,
+  CASE WHEN city = 'Toronto' THEN 'GTA' WHEN city = 'Ottawa' THEN 'East' WHEN remote THEN 'Remote (Canada)' ELSE 'Unspecified' END AS region, coalesce(city, CASE WHEN remote THEN 'Remote' ELSE 'Unspecified' END) AS place FROM n WHERE reason IS NULL),
+v AS (
+  SELECT 'category' AS list, category AS value, k, 0 AS pos FROM a UNION ALL SELECT 'experience', level, k, 0 FROM a UNION ALL SELECT 'region', region, k, 0 FROM a UNION ALL SELECT 'city', place, k, 0 FROM a
+  UNION ALL SELECT 'employers', company, k, 0 FROM a UNION ALL SELECT 'source', src, k, 0 FROM a UNION ALL SELECT 'technologies', unnest(tech), k, generate_subscripts(tech, 1) - 1 FROM a)
+SELECT list, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY list ORDER BY count(*) DESC, min(k * 100 + pos)) AS INT) AS rank FROM v GROUP BY list, value
+""")
+def dashboard_lists(t):
+    return facets.top_lists(stored_listings(t), facets.dashboard_lists(), c("_ord"))

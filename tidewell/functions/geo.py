@@ -50,8 +50,8 @@ def needles(places: DataFrame) -> DataFrame:
 def match_places(texts: DataFrame, column: str, places: DataFrame) -> DataFrame:
     """_text, place, region for each distinct text of the column: the longest needle that stands as words, else the longest of INSIDE letters and more anywhere.
 
-    Word matches are an equi-join of the text's word n-grams with the needles. Only texts without one are compared with the needles by
-    substring, in which the gazetteer is the stated query set.
+    Word matches are an equi-join of the text's word n-grams with the needles. Texts without one join with the needles by INSIDE letters
+    that both have (a needle's first ones), and what meets is compared, so a gazetteer of any size is neither broadcast nor compared whole.
     """
     dim = needles(places).select("needle", "n_words", "length", F.struct(F.col("place").alias("place"), F.col("region").alias("region")).alias("_spot"), F.struct((-F.col("length")).alias("l"), "ord").alias("_by"))
     longest = dim.agg(F.max("n_words")).first()[0] or 1
@@ -61,7 +61,10 @@ def match_places(texts: DataFrame, column: str, places: DataFrame) -> DataFrame:
     best = F.min_by("_spot", "_by").alias("hit")
     whole = keys.select("_text", F.explode(F.array_distinct(grams)).alias("needle")).join(dim, "needle").groupBy("_text").agg(best)
     left = keys.join(whole, "_text", "left_anti")
-    inside = left.join(F.broadcast(dim.where(F.col("length") >= INSIDE)), F.col("k").contains(F.col("needle"))).groupBy("_text").agg(best)  # the gazetteer: a few hundred rows
+    heads = F.transform(F.sequence(F.lit(1), F.length("k") - INSIDE + 1), lambda i: F.substring("k", i, INSIDE))
+    cut = left.where(F.length("k") >= INSIDE).select("_text", "k", F.explode(F.array_distinct(heads)).alias("head"))
+    long = dim.where(F.col("length") >= INSIDE).withColumn("head", F.substring("needle", 1, INSIDE))
+    inside = cut.join(long, "head").where(F.col("k").contains(F.col("needle"))).groupBy("_text").agg(best)
     return whole.unionByName(inside).select("_text", F.col("hit.place").alias("place"), F.col("hit.region").alias("region"))
 
 

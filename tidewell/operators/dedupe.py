@@ -53,17 +53,27 @@ def _entries(name: str, items: Column, kind: str) -> Column:
 
 
 def dedupe(listings: DataFrame) -> DataFrame:
-    """One listing for each fingerprint: the winner's fields, the earliest date, pay from whoever has it, united lists, where else it was posted."""
-    ranked = winners(listings, "fingerprint", source_priority(F.col("sourceId")), F.length("description"), F.col("postedAt"), F.col("_ord"))
-    others = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("election") > 1, F.struct("election", F.col("sourceName").alias("sourceName"), F.when(F.coalesce(F.col("applyUrl"), F.lit("")) != "", F.col("applyUrl")).otherwise(F.col("sourceUrl")).alias("url"))))),
-        lambda s: F.struct(s["sourceName"].alias("sourceName"), s["url"].alias("url")),
+    """One listing for each fingerprint: the winner's fields, the earliest date, pay from whoever has it, united lists, where else it was posted.
+
+    Only the keys of an election and what alsoPostedOn names of a copy meet in a group; the winner's row is joined by (fingerprint, _ord).
+    """
+    posted = F.coalesce(F.unix_micros(F.col("postedAt").cast("timestamp")), F.lit(0))
+    # a null length comes last, as it does in a descending order
+    keys = [-source_priority(F.col("sourceId")), -F.coalesce(F.length("description"), F.lit(-1)), -posted, F.col("_ord")]
+    url = F.when(F.coalesce(F.col("applyUrl"), F.lit("")) != "", F.col("applyUrl")).otherwise(F.col("sourceUrl"))
+    copy = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.col("sourceName").alias("sourceName"), url.alias("url"))
+    group = listings.groupBy("fingerprint").agg(
+        F.min("postedAt").alias("_earliest"),
+        F.min_by(F.col("salary"), F.when(F.col("salary.min").isNotNull(), F.col("_ord"))).alias("_pay"),
+        F.max("relevanceScore").alias("_relevance"),
+        F.count(F.lit(1)).cast("int").alias("_copies"),
+        F.array_sort(F.collect_list(copy)).alias("_ranked"),
     )
-    group = ranked.groupBy("fingerprint").agg(
-        F.min("postedAt").alias("_earliest"), F.min_by(F.col("salary"), F.when(F.col("salary.min").isNotNull(), F.col("_ord"))).alias("_pay"), F.max("relevanceScore").alias("_relevance"), F.count(F.lit(1)).cast("int").alias("_copies"), others.alias("_others"),
-    )
+    named = F.transform(F.slice("_ranked", 2, F.size("_ranked")), lambda s: F.struct(s["sourceName"].alias("sourceName"), s["url"].alias("url")))
+    group = group.withColumn("_winner", F.col("_ranked")[0][f"k{len(keys) - 1}"]).withColumn("_others", named).drop("_ranked")
     wanted = united_lists(listings, "fingerprint", "_ord", {f"_{k}": (F.col("requirements")[k], cap) for k, cap in UNION_CAPS.items()})
-    out = ranked.where("election = 1").join(group, "fingerprint").join(wanted, "fingerprint", "left")
+    found = group.join(wanted, "fingerprint", "left").withColumnsRenamed({"fingerprint": "_group"})
+    out = listings.join(found, F.col("fingerprint").eqNullSafe(F.col("_group")) & (F.col("_ord") == F.col("_winner")))
     none = F.array().cast("array<string>")
     lists = F.col("requirements")
     for k in UNION_CAPS:

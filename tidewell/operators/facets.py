@@ -70,6 +70,44 @@ def count_by(rows: DataFrame, value: Column, order: Column, limit: int | None =
     return out.limit(limit) if limit else out
 
 
+def dashboard_lists() -> list[Facet]:
+    """The dashboard's eight lists with their limits (fixed values; 0 is none)."""
+    c, one = F.col, lambda x: F.array(x)
+    remote = c("workArrangement") == "remote"
+    return [
+        Facet("category", one(c("category")), 12),
+        Facet("experience", one(c("experienceLevel")), 0),
+        Facet("region", one(city_label(c("region"), remote, "Unspecified", "Remote (Canada)")), 0),
+        Facet("city", one(city_label(c("city"), remote, "Unspecified")), 12),
+        Facet("certifications", c("requirements.certifications"), 15),
+        Facet("technologies", c("requirements.technologies"), 15),
+        Facet("employers", one(c("company")), 15),
+        Facet("source", one(c("sourceId")), 0),
+    ]
+
+
+def top_lists(rows: DataFrame, lists: list[Facet], order: Column) -> DataFrame:
+    """list, value, n, rank of all lists in one pass: most frequent first, ties by first appearance in `order` and within a row's array.
+
+    Values are counted before the shuffle. Lists with a limit are ranked slice by slice first, so that no list's values all meet in one task;
+    those without one (limit 0) are of columns with few values.
+    """
+    kind = "array<struct<list:string,pos:int,value:string>>"
+    entry = lambda f: F.transform(f.values.cast("array<string>"), lambda v, i: F.struct(F.lit(f.name).alias("list"), i.alias("pos"), v.alias("value")))
+    pairs = F.flatten(F.array(*(F.coalesce(entry(f).cast(kind), F.array().cast(kind)) for f in lists)))
+    counted = rows.select(order.alias("_o"), F.explode(pairs).alias("_e")).select("_o", "_e.*")
+    counted = counted.groupBy("list", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "pos")).alias("at"))
+    limits = F.create_map(*(F.lit(x) for f in lists for x in (f.name, f.limit or 2**31 - 1)))
+    named = [f.name for f in lists if f.limit]
+    keys = [F.desc("n"), "at"]
+    sliced = counted.where(F.col("list").isin(named)).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(SLICES)))
+    top = Window.partitionBy("list", "slice").orderBy(*keys)
+    kept = sliced.withColumn("place", F.row_number().over(top)).where(F.col("place") <= max(f.limit for f in lists)).drop("slice", "place")
+    both = kept.unionByName(counted.where(~F.col("list").isin(named)))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(*keys)))
+    return ranked.where(F.col("rank") <= F.element_at(limits, F.col("list"))).select("list", "value", "n", "rank")
+
+
 def kpis(rows: DataFrame, live: Column, age_days: Column, company: Column, remote: Column, hybrid: Column, entry: Column, pathway: Column) -> DataFrame:
     """The eight headline numbers in one aggregate."""
     n = lambda c: F.count_if(live & c)
@@ -106,4 +144,5 @@ def trend(rows: DataFrame, day: Column, today: date, days: int = 30) -> DataFram
 
 def bar_percent(counts: DataFrame) -> DataFrame:
     """Adds percent: the count as a rounded share of the largest."""
-    return counts.withColumn("percent", F.floor(100 * F.col("n") / F.greatest(F.max("n").over(Window.partitionBy()), F.lit(1)) + 0.5).cast("int"))
+    most = counts.agg(F.max("n")).scalar()
+    return counts.withColumn("percent", F.floor(100 * F.col("n") / F.greatest(most, F.lit(1)) + 0.5).cast("int"))

@@ -21,13 +21,15 @@ def merge_snapshots(previous: DataFrame, current: DataFrame, now: datetime, rete
     """All rows of current and what previous still holds, with merge_status: refreshed, added, carried, newly_expired or dropped.
 
     Both have id, firstSeenAt, lastSeenAt, isExpired, isRepost, repostOf, _ord. The current row wins; of several current rows with an id
-    only the first takes over what was known before. Rows come in the order (side, _ord), renumbered in merge_ord.
+    only the first takes over what was known before. Rows come in the order (merge_side, _ord).
+
+    An id's first row is found by a partial aggregate and rows are joined by (id, _ord), so no id's rows, null ids included, meet in one task.
     """
     known = previous.where(F.col("id").isNotNull())
     known = known.withColumn("_place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_ord")))).where("_place = 1").drop("_place")
-    first = current.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("_ord")))
-    c, p = first.alias("c"), known.withColumn("_nth", F.lit(1)).alias("p")
-    joined = c.join(p, (F.col("c.id") == F.col("p.id")) & (F.col("c._nth") == F.col("p._nth")), "full_outer")
+    firsts = current.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_first_id")).agg(F.min("_ord").alias("_first_ord"))
+    c, p = current.alias("c"), known.join(firsts, F.col("id") == F.col("_first_id"), "left").alias("p")
+    joined = c.join(p, (F.col("c.id") == F.col("p.id")) & (F.col("c._ord") == F.col("p._first_ord")), "full_outer")
     own, before = F.col("c.id").isNotNull() | F.col("c._ord").isNotNull(), F.col("p.id").isNotNull()
     unseen = _age(F.col("p.lastSeenAt"), now)
     status = F.when(own & before, "refreshed").when(own, "added").when(unseen > retention, "dropped").when((unseen > stale) & ~F.col("p.isExpired"), "newly_expired").otherwise("carried")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.dates import parse_age
 from tidewell.operators.dedupe import first_wins
 from tidewell.schema import RAW
 
@@ -145,10 +147,23 @@ def _remotive(j):
 
 
 def _workday(j):
+    """The token is tenant@host/site, with #hint after it where the tenant has a place of its own."""
+    token = F.col("token")
+    tenant, rest = F.split_part(token, F.lit("@"), F.lit(1)), F.split_part(token, F.lit("@"), F.lit(2))
+    page = F.concat(F.lit("https://"), F.split_part(rest, F.lit("#"), F.lit(1)), j("externalPath"))
     return {
-        "sourceJobId": _own(F.coalesce(j("bulletFields")[0], j("externalPath"))), "sourceName": _named("Workday", F.col("label")), "sourceUrl": F.concat(F.col("token"), j("externalPath")), "applyUrl": F.concat(F.col("token"), j("externalPath")), "title": j("title"), "company": F.col("label"),
-        "locationRaw": F.coalesce(j("locationsText"), F.lit("")), "description": F.coalesce(j("jobDescription"), F.lit("")), "descriptionIsHtml": F.lit(True), "postedAt": j("postedOn"), "employmentTypeRaw": j("timeType"), "remoteHint": _says_remote(j("locationsText")),
-    }
+        "sourceJobId": F.concat(tenant, F.lit(":"), j("externalPath")),
+        "sourceName": _named("Workday", F.col("label")),
+        "sourceUrl": page,
+        "applyUrl": page,
+        "title": j("title"),
+        "company": F.regexp_replace(F.col("label"), r"\s*\(.*\)$", ""),
+        "locationRaw": F.coalesce(j("locationsText"), F.split_part(rest, F.lit("#"), F.lit(2)), F.lit("")),
+        "description": F.array_join(F.coalesce(j("bulletFields"), F.array().cast("array<string>")), " · "),
+        "descriptionIsHtml": F.lit(False),
+        "postedAt": F.coalesce(j("postedOn"), j("startDate")),
+        "remoteHint": _says_remote(j("locationsText")),
+    }
 
 
 _has = lambda *names: lambda j: reduce(lambda a, b: a & b, (F.coalesce(j(n).cast("string"), F.lit("")) != "" for n in names))
@@ -159,7 +174,7 @@ SOURCES = [
     Source("ashby", "Ashby", "jobs array<struct<id:string,title:string,isListed:boolean,jobUrl:string,applyUrl:string,location:string,secondaryLocations:array<struct<location:string>>,descriptionHtml:string,descriptionPlain:string,publishedAt:string,employmentType:string,department:string,team:string,isRemote:boolean,workplaceType:string,compensation:struct<compensationTierSummary:string,summaryComponents:array<struct<compensationType:string,minValue:string,maxValue:string,currencyCode:string,interval:string>>>>>", "jobs", _ashby, lambda j: _has("title")(j) & F.coalesce(j("isListed"), F.lit(True)) & (F.coalesce(_full(j("jobUrl"), j("applyUrl")), F.lit("")) != "")),
     Source("workable", "Workable", "name string, jobs array<struct<id:string,shortcode:string,title:string,url:string,shortlink:string,application_url:string,city:string,state:string,country:string,location:struct<city:string,region:string,country:string,workplaceType:string>,description:string,requirements:string,benefits:string,published_on:string,created_at:string,employment_type:string,department:string,telecommuting:boolean>>", "jobs", _workable, lambda j: _has("title")(j) & F.coalesce(j("shortcode"), j("id")).isNotNull() & F.coalesce(j("url"), j("shortlink"), j("application_url")).isNotNull()),
     Source("recruitee", "Recruitee", "offers array<struct<id:string,title:string,careers_url:string,careers_apply_url:string,location:string,city:string,state_name:string,country_code:string,description:string,requirements:string,published_at:string,created_at:string,employment_type_code:string,department:string,remote:boolean>>", "offers", _recruitee, lambda j: _has("title")(j) & F.coalesce(j("careers_url"), j("careers_apply_url")).isNotNull()),
-    Source("workday", "Workday", "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,bulletFields:array<string>,jobDescription:string,timeType:string>>", "jobPostings", _workday, _has("title", "externalPath")),
+    Source("workday", "Workday", "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,startDate:string,bulletFields:array<string>>>", "jobPostings", _workday, _has("title", "externalPath")),
     Source("adzuna", "Adzuna", "results array<struct<id:string,title:string,redirect_url:string,salary_is_predicted:string,salary_min:double,salary_max:double,company:struct<display_name:string>,location:struct<display_name:string,area:array<string>>,description:string,created:string,contract_time:string,contract_type:string,category:struct<label:string>>>", "results", _adzuna, _has("title", "redirect_url")),
     Source("jooble", "Jooble", "jobs array<struct<id:string,title:string,link:string,source:string,company:string,location:string,snippet:string,updated:string,salary:string,type:string>>", "jobs", _jooble, _has("title", "link")),
     Source("arbeitnow", "Arbeitnow", "data array<struct<slug:string,title:string,url:string,company_name:string,location:string,remote:boolean,description:string,created_at:string,job_types:array<string>,tags:array<string>>>", "data", _arbeitnow, _has("title", "slug")),
@@ -198,6 +213,48 @@ def read_payloads(payloads: DataFrame, source: Source) -> DataFrame:
     return first_wins(rows.select(*raw_columns(source.fields(j), source.id)), ["sourceId", "sourceJobId"], ["_ord"])
 
 
+WORKDAY_DETAIL = "jobPostingInfo struct<jobDescription:string,location:string,additionalLocations:array<string>,postedOn:string,startDate:string,timeType:string,externalUrl:string,remoteType:string>"
+#: Details are fetched for this many postings of a run at most (fixed value).
+WORKDAY_DETAILS = 60
+
+
+def workday_targets(rows: DataFrame, terms: list[str], most: int = WORKDAY_DETAILS) -> DataFrame:
+    """sourceJobId, detail_url of the first `most` postings whose title has the first word of a term."""
+    tenant, path = F.split_part("sourceJobId", F.lit(":"), F.lit(1)), F.regexp_replace("sourceJobId", "^[^:]*:", "")
+    board = F.substring("sourceUrl", F.lit(1), F.length("sourceUrl") - F.length(path))
+    url = F.concat(F.regexp_extract(board, "^https://[^/]*", 0), F.lit("/wday/cxs/"), tenant, F.lit("/"), F.regexp_replace(board, "^https://[^/]*/", ""), path)
+    words = list(dict.fromkeys(t.lower().split()[0] for t in terms if t.strip()))
+    wanted = reduce(lambda a, b: a | b, (F.lower("title").contains(w) for w in words), F.lit(False))
+    return rows.where(wanted).orderBy("_ord").limit(most).select("sourceJobId", url.alias("detail_url"))
+
+
+def read_workday(pages: DataFrame, now: datetime, details: DataFrame | None = None) -> DataFrame:
+    """Raw listings of Workday's result pages, with the details that were landed for some: details has sourceJobId, payload (JSON text), ord.
+
+    A posting's details decide where they say something; of several for one posting the first that parses counts.
+    """
+    said = lambda t: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = read_payloads(pages, source_by_id("workday")).withColumn("postedAt", said(parse_age(F.col("postedAt"), now)))
+    if details is None:
+        return rows
+    kind = f"struct<{WORKDAY_DETAIL.replace(' ', ':', 1)}>"
+    info = details.select(F.col("sourceJobId").alias("_id"), "ord", F.from_json("payload", kind)["jobPostingInfo"].alias("_d")).where(F.col("_d").isNotNull())
+    info = info.groupBy("_id").agg(F.min_by("_d", "ord").alias("_d"))
+    d = F.col("_d")
+    places = _listed(" / ", F.concat(F.array(d["location"]), F.coalesce(d["additionalLocations"], F.array().cast("array<string>"))))
+    has = lambda x: F.coalesce(x, F.lit("")) != ""
+    better = {
+        "description": F.when(has(d["jobDescription"]), d["jobDescription"]).otherwise(F.col("description")),
+        "descriptionIsHtml": F.when(has(d["jobDescription"]), True).otherwise(F.col("descriptionIsHtml")),
+        "locationRaw": F.when(has(d["location"]), places).otherwise(F.col("locationRaw")),
+        "postedAt": F.coalesce(said(parse_age(F.coalesce(d["postedOn"], d["startDate"]), now)), F.col("postedAt")),
+        "employmentTypeRaw": F.coalesce(d["timeType"], F.col("employmentTypeRaw")),
+        "remoteHint": F.when(has(d["remoteType"]), d["remoteType"].rlike("(?i)remote")).otherwise(F.col("remoteHint")),
+        "applyUrl": F.when(has(d["externalUrl"]), d["externalUrl"]).otherwise(F.col("applyUrl")),
+    }
+    return rows.join(info, F.col("sourceJobId") == F.col("_id"), "left").withColumns(better).select(*rows.columns)
+
+
 def _top(schema: str) -> list[str]:
     """Top-level fields of a schema string."""
     out, depth = [""], 0

@@ -42,9 +42,13 @@ def unread_verdict(status: int | None, allow_on_error: bool) -> bool:
 
 
 def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls' columns and allowed: the longest matching pattern decides, allow wins ties. urls: origin, path; rules: origin, kind, pattern, regex (an equi-join on origin)."""
-    r = rules.select("origin", "kind", F.length("pattern").alias("length"), "regex")
-    keys = urls.select("origin", "path").distinct()
-    hit = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & F.expr("path rlike regex"), F.col("length"))), F.lit(-1))
-    judged = keys.join(r, "origin").groupBy("origin", "path").agg(hit("disallow").alias("no"), hit("allow").alias("yes"))
-    return urls.join(judged, ["origin", "path"], "left").withColumn("allowed", F.coalesce((F.col("no") < 0) | (F.col("yes") >= F.col("no")), F.lit(True))).drop("no", "yes")
+    """urls' columns and allowed: the longest matching pattern decides, allow wins ties. urls: origin, path; rules: origin, kind, pattern, regex.
+
+    An origin's rules (one robots file) are one row, so URLs aren't multiplied by rules, and a hot origin's URLs are a side that Spark can split.
+    """
+    one = F.struct("kind", F.length("pattern").alias("length"), "regex")
+    of_origin = rules.groupBy("origin").agg(F.collect_list(one).alias("_rules"))
+    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("_rules", lambda r: (r["kind"] == kind) & F.rlike("path", r["regex"])), lambda r: r["length"])), F.lit(-1))
+    no, yes = longest("disallow"), longest("allow")
+    joined = urls.join(of_origin, "origin", "left")
+    return joined.withColumn("allowed", (no < 0) | (yes >= no)).select(*urls.columns, "allowed")

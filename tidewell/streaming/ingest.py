@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators.merge import kept, merge_snapshots
 from tidewell.schema import RAW
-from tidewell.sources.snapshots import read_first
 
 
 def raw_stream(spark: SparkSession, landing: str) -> DataFrame:
@@ -29,11 +28,14 @@ def daily_counts(stream: DataFrame, event_time: str, delay: str = "21 days") ->
 
 
 def merge_stream(listings: DataFrame, store: str, checkpoint: str, schema: str, clock=datetime.utcnow, retention: int = 21, stale: int = 3) -> StreamingQuery:
-    """Merges every batch of listings into the snapshot before it. Snapshots are folders named by batch, so a batch that runs again writes the same one."""
+    """Merges every batch of listings into the snapshot before it. Snapshots are folders named by batch, so a batch that runs again writes the same one.
+
+    An empty snapshot counts as one; where the one before is missing, reading it fails rather than starting afresh.
+    """
 
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = read_first(spark, [f"{store}/batch={i}" for i in range(n - 1, max(-1, n - 8), -1)], schema)
+        before = spark.read.schema(schema).parquet(f"{store}/batch={n - 1}") if n else spark.createDataFrame([], schema)
         merged = kept(merge_snapshots(before, batch, clock(), retention, stale))
         merged.drop("merge_side", "merge_status").write.mode("overwrite").parquet(f"{store}/batch={n}")
 
