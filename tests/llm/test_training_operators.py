@@ -366,6 +366,23 @@ def test_near_duplicates(request, table):
     assert got == Counter(brute_pairs(df.collect()))
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_many_rows_of_one_id(spark, shared, monkeypatch):
+    """Rows of a null or shared doc_id are found by their nodes: no text meets the nodes of all others."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 30, 60)]
+        rows += [(shared, " ".join(w)), (shared, " ".join([*w[:-1], "end"])), (1000 + i, " ".join(["start", *w[1:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    monkeypatch.setattr(ngram_join, "staged", lambda t, label, real=ngram_join.staged: met.append((label, real(t, label))) or met[-1][1])
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == Counter(brute_pairs(df.collect()))
+    sets = next(t for label, t in met if label == "sets")
+    assert sets.count() == len(rows)
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(200)]

@@ -316,7 +316,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """node, shingles of the active nodes, from the whole texts read again. active: node, doc_id."""
+    """node, shingles of the active nodes, from the whole texts read again. active: node, doc_id.
+
+    A doc_id of one active node finds its text by a join. Rows of a null doc_id, or of one that several nodes have, would meet all of those
+    nodes there, so their nodes are computed first and joined as such.
+    """
 
     def run(batches):
         for batch in batches:
@@ -327,10 +331,16 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
                 raw = value.astype("<u8").tobytes()
                 yield pa.record_batch([pa.array(node[hit]), pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in hit], pa.binary())], names=["node", "shingles"])
 
-    ids = staged(active.select(F.col("doc_id").alias("want_id"), F.col("node").alias("want")), "active")
-    ids = _small(ids)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "want")
-    return staged(own.mapInArrow(run, "node long, shingles binary"), "sets").dropDuplicates(["node"])
+    ids = staged(active.groupBy(F.col("doc_id").alias("want_id")).agg(F.count(F.lit(1)).alias("nodes"), F.first("node").alias("want")), "active")
+    plain = (F.col("nodes") == 1) & F.col("want_id").isNotNull()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(_small(ids.where(plain).select("want_id", "want")), F.col("doc_id") == F.col("want_id")).select("text", "want")
+    several = ids.where(~plain).select("want_id")
+    if several.limit(1).collect():
+        theirs = rows.join(_small(several), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi").select("text")
+        wanted = _small(active.select(F.col("node").alias("want_node")))
+        found = found.unionByName(_with_nodes(theirs, "want").join(wanted, F.col("want") == F.col("want_node"), "left_semi"))
+    return staged(found.mapInArrow(run, "node long, shingles binary"), "sets").dropDuplicates(["node"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
