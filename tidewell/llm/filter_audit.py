@@ -50,8 +50,10 @@ def text_flags(docs: DataFrame) -> DataFrame:
 def document_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, fails (bits of A to E), good, toxic of every document."""
     rows = staged(text_flags(docs), "audit-flags")
-    # a text's least id is found by partial aggregates; a text of very many copies is then hot on one side of a join, which adaptive execution splits
+    # a text's least id is found by partial aggregates; a text of very many copies is then hot on one side of a join, which adaptive execution
+    # splits, as both sides are tables
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    least = staged(least, "audit-least")
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     later = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
