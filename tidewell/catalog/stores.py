@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import breaker
 from tidewell.scratch import new_folder
 from tidewell.sources import store
 
@@ -65,3 +66,47 @@ def store_runs(t):
         stored.append((run, s.read("listings", made).count()))
     counts = t("region").sparkSession.createDataFrame(stored, "run string, stored long")
     return s.read("runs").join(F.broadcast(counts), "run").select("run", "duration_ms", "fetched", "kept", "inserted", "updated", "expired", "stored")
+
+
+# ---- breakers and fallbacks over events ----
+
+_FAILED = "event_type IN ('error', 'view')"
+_STREAKS = f"""
+placed AS (SELECT *, row_number() OVER w AS n, {_FAILED} AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+last AS (SELECT *, max(CASE WHEN NOT failed THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS success FROM placed),
+streaks AS (SELECT *, n - 1 - coalesce(success, 0) AS streak FROM last)"""
+
+
+def _attempts(t):
+    return t("events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
+def _tripped(t, limit, cold):
+    failed, day = c("event_type").isin("error", "view"), F.to_date("ts")
+    return breaker.tripped(_attempts(t), "user_id", ["ts", "event_id"], failed, day, limit, cold)
+
+
+def _sql_tripped(limit, cold):
+    test = f"streak >= {limit}" + (" AND success IS NULL" if cold else "")
+    return f"""WITH {_STREAKS}, opened AS (SELECT user_id, min(n) AS opens FROM streaks WHERE {test} GROUP BY user_id)
+SELECT event_id, opens IS NULL OR n < opens AS made FROM streaks LEFT JOIN opened USING (user_id)"""
+
+
+@query(_sql_tripped(6, False))
+def breaker_streak(t):
+    return _tripped(t, 6, False).select("event_id", "made")
+
+
+@query(_sql_tripped(2, True))
+def breaker_cold(t):
+    return _tripped(t, 2, True).select("event_id", "made")
+
+
+@query("""
+SELECT user_id, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, ts, event_id) AS place
+  FROM events WHERE value >= 40) WHERE place = 1
+""")
+def first_usable_source(t):
+    rank = F.when(c("event_type") == "purchase", 0).when(c("event_type") == "signup", 1).otherwise(2)
+    return breaker.first_usable(_attempts(t), ["user_id"], rank, c("value") >= 40, ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
