@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import indexed, landed, listings, relational, stores, texts  # noqa: E402, F401
+from . import indexed, landed, listings, relational, scaled, stores, texts  # noqa: E402, F401

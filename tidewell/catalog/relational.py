@@ -202,10 +202,8 @@ def reject_reasons(t):
 # ---- duplicates ----
 
 
-def _grouped(t):
-    rows = t("documents").select("doc_id", "source", "lang", "n_chars", F.sha1(F.lower("text")).alias("fp"), (c("doc_id") % 97).alias("days"))
-    posted = F.timestamp_seconds(c("days") * 86400)
-    return dedupe.winners(rows.withColumn("posted", posted), "fp", dedupe.source_priority(c("source"), {"src0": 100, "src1": 90, "src2": 40}), c("n_chars"), c("posted"), c("doc_id"))
+def _copies(t):
+    return t("documents").select("doc_id", "source", "lang", "n_chars", F.sha1(F.lower("text")).alias("fp"), (c("doc_id") % 97).alias("days"))
 
 
 _RANKED = """(SELECT doc_id, source, lang, n_chars, sha1(lower(text)) AS fp, doc_id % 97 AS days, row_number() OVER (PARTITION BY sha1(lower(text)) ORDER BY CASE source WHEN 'src0' THEN 100 WHEN 'src1' THEN 90 WHEN 'src2' THEN 40 ELSE 50 END DESC, n_chars DESC, doc_id % 97 DESC, doc_id) AS election FROM documents)"""
@@ -213,12 +211,16 @@ _RANKED = """(SELECT doc_id, source, lang, n_chars, sha1(lower(text)) AS fp, doc
 
 @query(f"SELECT fp, doc_id, source, CAST(days AS BIGINT) AS days FROM {_RANKED} WHERE election = 1")
 def dedupe_winner(t):
-    return _grouped(t).where("election = 1").select("fp", "doc_id", "source", "days")
+    priority = dedupe.source_priority(c("source"), {"src0": 100, "src1": 90, "src2": 40})
+    return dedupe.elected(_copies(t), "fp", priority, c("n_chars"), F.timestamp_seconds(c("days") * 86400), "doc_id").select("fp", "doc_id", "source", "days")
 
 
 @query(f"SELECT fp, CAST(count(*) AS INT) AS copies, min(days) AS earliest, array_to_string((SELECT list_distinct_ordered), ',') AS sources FROM (SELECT fp, days, doc_id, source FROM {_RANKED}) GROUP BY fp".replace("(SELECT list_distinct_ordered)", "list(source ORDER BY doc_id)[1:5]"))
 def dedupe_groups(t):
-    return _grouped(t).groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min("days").alias("earliest"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda s: s["source"]), 1, 5), ",").alias("sources"))
+    rows = _copies(t)
+    sizes = rows.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min("days").alias("earliest"))
+    first = dedupe.first_of_group(rows, "fp", "doc_id", c("source"), 5)
+    return sizes.join(first, "fp").select("fp", "copies", "earliest", F.array_join("items", ",").alias("sources"))
 
 
 @query("""
@@ -228,7 +230,8 @@ SELECT fp, string_agg(item, ',' ORDER BY spot) AS items FROM r WHERE k <= 4 GROU
 """)
 def dedupe_union_arrays(t):
     rows = t("documents").select(F.sha1(F.lower("text")).alias("fp"), "doc_id", F.array("source", "lang").alias("items"))
-    return rows.groupBy("fp").agg(F.array_join(dedupe.united("doc_id", c("items"), 4), ",").alias("items"))
+    united = dedupe.united_lists(rows, "fp", "doc_id", {"all": (c("items"), 4)})
+    return united.select("fp", F.array_join("all", ",").alias("items"))
 
 
 @query("SELECT CAST(sum(n - 1) AS BIGINT) AS merged FROM (SELECT count(*) AS n FROM documents GROUP BY sha1(lower(text)))")

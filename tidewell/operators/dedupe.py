@@ -17,21 +17,25 @@ def source_priority(source: Column, table: dict[str, int] | None = None, other:
     return F.coalesce(F.try_element_at(names, source), F.lit(other))
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in a given order (dropDuplicates has none)."""
-    at = "_first_place"
-    return rows.withColumn(at, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(at) == 1).drop(at)
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a given order (dropDuplicates has none): a partial aggregate, so a task sends one row a key."""
+    best = F.min_by(F.struct(*(F.col(f"`{x}`") for x in rows.columns)), F.struct(*order)).alias("_first")
+    return rows.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(best).select("_first.*")
 
 
-def winners(rows: DataFrame, group: str, priority: Column, length: Column, posted: Column, order: Column) -> DataFrame:
-    """Adds election, 1 for the winner of its group: priority, then length, then date, all descending, then the input order."""
+def elected(rows: DataFrame, group: str, priority: Column, length: Column, posted: Column, order: str) -> DataFrame:
+    """The winner of each group: priority, then length, then date, all descending (nulls last), then the input order; one row a group and task is shuffled."""
     epoch = F.coalesce(F.unix_micros(posted.cast("timestamp")), F.lit(0))
-    return rows.withColumn("election", F.row_number().over(Window.partitionBy(group).orderBy(priority.desc(), length.desc(), epoch.desc(), order)))
+    low = lambda x: F.struct(x.isNull().alias("none"), (-x).alias("value"))
+    keys = F.struct(low(priority).alias("priority"), low(length).alias("length"), (-epoch).alias("epoch"), F.col(order).alias("order"))
+    return rows.groupBy(F.col(group).alias("_group")).agg(F.min_by(F.struct(*rows.columns), keys).alias("_winner")).select("_winner.*")
 
 
-def united(order: str, items: Column, cap: int) -> Column:
-    """An aggregate: distinct items of a group's arrays, in the rows' order and then the items' own, at most cap."""
-    return F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), items.alias("items")))), lambda s: F.coalesce(s["items"], F.array().cast("array<string>"))))), 1, cap)
+def first_of_group(rows: DataFrame, group: str, order: str, item: Column, most: int) -> DataFrame:
+    """The group, and `items` of its first `most` rows. The limit is applied within tasks before rows are shuffled, so a hot group sends `most` rows a task."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    first = rows.select(group, order, item.alias("_item")).withColumn("_place", place).where(F.col("_place") <= most)
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_item"))), lambda s: s["_item"]).alias("items"))
 
 
 def united_lists(rows: DataFrame, group: str, order: str, lists: dict[str, tuple[Column, int]]) -> DataFrame:

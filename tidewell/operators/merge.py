@@ -26,7 +26,7 @@ def merge_snapshots(previous: DataFrame, current: DataFrame, now: datetime, rete
     An id's first row is found by a partial aggregate and rows are joined by (id, _ord), so no id's rows, null ids included, meet in one task.
     """
     known = previous.where(F.col("id").isNotNull())
-    known = known.withColumn("_place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_ord")))).where("_place = 1").drop("_place")
+    known = known.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*previous.columns), F.struct("_ord")).alias("_last")).select("_last.*")
     firsts = current.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_first_id")).agg(F.min("_ord").alias("_first_ord"))
     c, p = current.alias("c"), known.join(firsts, F.col("id") == F.col("_first_id"), "left").alias("p")
     joined = c.join(p, (F.col("c.id") == F.col("p.id")) & (F.col("c._ord") == F.col("p._first_ord")), "full_outer")

@@ -6,12 +6,14 @@ import re
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import haystack
+from tidewell.operators import pages
 from tidewell.operators.facets import facet_counts, listing_facets
 from tidewell.operators.filters import Filters, predicate
+from tidewell.scratch import written
 
 PAGE_SIZES = (1, 100)
 
@@ -94,7 +96,7 @@ def page_strip(page: int, pages: int, around: int = 2) -> list[int | None]:
 
 @dataclass(frozen=True)
 class Result:
-    """total and paging are numbers; page, matched and facets are lazy."""
+    """total and paging are numbers; the page's rows, matched (without the long columns) and facets are lazy."""
 
     total: int
     page: int
@@ -111,15 +113,40 @@ def listing_haystack() -> Column:
     return haystack([c("title"), c("company"), c("city"), c("region"), c("locationRaw"), c("summary"), *lists, c("sourceName"), F.substring(c("description"), 1, 4000)])
 
 
+#: Offsets beyond which a page is found by counting ranges.
+DEEP = 10_000
+#: Columns that neither orders nor facets need; a page's rows fetch them by _ord.
+WIDE = ["description", "descriptionHtml"]
+
+
 def search(listings: DataFrame, filters: Filters, now: datetime) -> Result:
-    """Filter, match, score, order and cut to a page; facets are over all that match. The page is a top-k, never a full sort."""
+    """Filter, match, score, order and cut to a page; facets are over all that match.
+
+    Listings are scanned once: what matches is written with what orders and facets need, and counted as it is written. The page is a top-k
+    of that table (a deep one is found by counts), and fetches its long columns by the page's _ord values, which tell listings apart.
+    """
     query = parse_query(filters.q)
     matched = listings.where(predicate(filters, now))
     if query:
         matched = matched.where(matches(query, listing_haystack()))
     matched = matched.withColumn("textScore", text_score(query, F.col("title"), F.col("company"), F.col("requirements.technologies")) if query else F.lit(0))
-    total = matched.count()
-    page, size, pages, offset = page_bounds(total, filters.page, filters.page_size)
     keys = sort_keys(filters.sort, F.col("textScore"), F.col("rankScore"), F.col("postedAt"), F.col("salary.annualMin"), F.col("salary.annualMax"), F.col("company"), F.col("_ord"))
-    rows = matched.orderBy(*keys).limit(offset + size).offset(offset)
-    return Result(total, page, size, pages, rows, matched, facet_counts(matched, listing_facets()))
+    seen = Observation()
+    narrow = written(matched.drop(*WIDE).observe(seen, F.count(F.lit(1)).alias("n")), "matched")
+    total = seen.get["n"]
+    page, size, n_pages, offset = page_bounds(total, filters.page, filters.page_size)
+    if offset > DEEP and filters.sort != "company":  # a company's order is a collation's
+        rows = deep_page(narrow, filters.sort, offset, size)
+    else:
+        rows = narrow.orderBy(*keys).limit(offset + size).offset(offset)
+    wanted = [r["_ord"] for r in rows.select("_ord").collect()]  # a page
+    long = listings.where(F.col("_ord").isin(wanted)).select(F.col("_ord").alias("_long"), *(x for x in WIDE if x in listings.columns))
+    full = narrow.where(F.col("_ord").isin(wanted)).join(F.broadcast(long), F.col("_ord") == F.col("_long")).orderBy(*keys).select(*listings.columns, "textScore")
+    return Result(total, page, size, n_pages, full, narrow, facet_counts(narrow, listing_facets()))
+
+
+def deep_page(matched: DataFrame, sort: str, offset: int, size: int) -> DataFrame:
+    """A page of one of the orders by number or date, with the keys that sort_keys has."""
+    epoch = F.coalesce(F.unix_micros(F.col("postedAt").cast("timestamp")), F.lit(0))
+    first = {"newest": epoch, "oldest": epoch, "salary": F.coalesce("salary.annualMax", "salary.annualMin", F.lit(-1))}.get(sort, F.col("textScore") * 3 + F.col("rankScore"))
+    return pages.page(matched.withColumn("_first", first), [("_first", sort != "oldest"), ("_ord", False)], offset, size).drop("_first")
