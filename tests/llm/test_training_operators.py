@@ -726,18 +726,6 @@ def slow_kneser_ney(texts, order=4):
             total[g[:-1]] += c
             spare[g[:-1]] += discount[k][min(c, 3)]
 
-    # an n-gram of which another one holds the slot is scored by back-off
-    def code(g):
-        return int(quality_rules.hashed(np.array([sum((ord(c) & 0xFFFF) << 16 * i for i, c in enumerate(reversed(g)))], np.uint64).view(np.int64))[0])
-
-    stored = set()
-    for table in tables.values():
-        slots = {}
-        for g, c in table.items():
-            h = code(g)
-            slots[(h % (1 << 64)) >> 42] = max(slots.get((h % (1 << 64)) >> 42, ()), (c, h, g))
-        stored |= {g for _, _, g in slots.values()}
-
     def p(g):
         if not g:
             return 1 / 65536
@@ -748,9 +736,7 @@ def slow_kneser_ney(texts, order=4):
         return (c - discount[len(g)][min(c, 3)]) / total[history] + spare[history] / total[history] * p(g[1:])
 
     def score(g):
-        if not g or g in stored:
-            return np.log(max(p(g), 1e-12))
-        return (np.log(max(spare[g[:-1]] / total[g[:-1]], 1e-12)) if (not g[:-1] or g[:-1] in stored) and g[:-1] in total else 0.0) + score(g[1:])
+        return np.log(max(p(g), 1e-12))
 
     return score
 
@@ -769,8 +755,9 @@ def test_perplexity_and_bands_against_a_slow_model(spark, monkeypatch):
     want = {i: -sum(slow[lang](("\0\0\0" + t)[k : k + 4]) for k in range(len(t))) / len(t) if t else 0.0 for i, t, lang in rows}
     failed = {i: brute_counts(t)[-1] for i, t, _ in rows}
     cells = {lang: sorted(np.floor(want[i] * 200) for i in {t: i for i, t, x in reversed(rows) if x == lang and not failed[i]}.values()) for lang in slow}
-    for limit in (quality_rules.MODEL_BYTES, 1):  # in one pass, and in one for each language
+    for limit, entries in ((quality_rules.MODEL_BYTES, quality_rules.RANGE_ROWS), (1, 600)):  # in one pass, and in one for each hash range
         monkeypatch.setattr(quality_rules, "MODEL_BYTES", limit)
+        monkeypatch.setattr(quality_rules, "RANGE_ROWS", entries)
         out, column, kept = quality_rules.judged(df, ["doc_id"])
         got = {r.doc_id: (r[column].log_ppl, r[kept]) for r in out.collect()}
         for i, t, lang in rows:
@@ -810,8 +797,12 @@ def test_kneser_ney_is_a_distribution(spark):
     for history in (int(keys[30]) & ((1 << 48) - 1), int(keys[5]) & ((1 << 48) - 1), 0x3FFF00410041):  # seen and unseen ones
         every = (np.uint64(history) << np.uint64(16) | np.arange(65536, dtype=np.uint64)).view(np.int64)
         assert abs(np.exp(quality_rules.log_probabilities(model, every)).sum() - 1) < 1e-3
-    few = next(iter(quality_rules.loaded(quality_rules.models(fitted, 5).toArrow()).values()))
-    assert max(len(h) for h, _, _ in few) <= 32 and np.isfinite(quality_rules.log_probabilities(quality_rules.ready(few), keys)).all()
+    whole = next(iter(quality_rules.loaded(quality_rules.models(fitted).toArrow()).values()))
+    cut = quality_rules.models(fitted, 20)
+    assert cut.where("k = 4").count() > 2  # however the arrays are cut, every n-gram is there
+    for (a, p, _), (b, q, _) in zip(whole, next(iter(quality_rules.loaded(cut.toArrow()).values())), strict=True):
+        assert (a == b).all() and (p == q).all()
+    assert sum(len(h) for h, _, _ in whole) == fitted.count()
 
 
 # ---- 10 ----

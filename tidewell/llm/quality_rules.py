@@ -3,9 +3,10 @@
 The language model is a modified Kneser-Ney model of order ORDER over the characters (code points) of whole texts, one for each language.
 Spark counts the n-grams of all distinct texts, and fits all languages at once by joins and aggregates: continuation counts, discounts from
 the counts of counts, history totals, interpolated probabilities and back-off weights. No language is one task. The model is stored in arrays
-sorted by the n-grams' 64-bit hashes, cut by hash range. An order has at most SLOTS entries a language: of n-grams whose hashes share
-their first bits the most frequent one stays, and the others are scored by back-off. So what is broadcast has a fixed bound (SLOTS * 16 bytes
-an order, in groups of languages of MODEL_BYTES), and the rule is the same at every size.
+sorted by the n-grams' 64-bit hashes, cut by hash range; every n-gram is kept. The texts that are scored are those that were counted, so each
+of their n-grams stands in the highest order's arrays, and a text's log-probability is a sum over hash ranges: ranges are broadcast in groups
+of MODEL_BYTES, each a pass over the documents of its languages, and the passes' sums are added up. What is broadcast has a fixed bound, and
+the rule is the same at every size.
 
 A document is rejected if the natural logarithm of its perplexity lies outside its language's band: the median of the language's distinct
 texts that pass the base rules, plus and minus `width` times the quartile distance on that side. A text counts once however many copies it
@@ -27,11 +28,11 @@ from .common import chunks, fresh, lookup, mixed, per_row, runs, span_hashes, st
 ORDER = 4
 #: Bits of a character in a packed n-gram; characters beyond the first plane share the codes of their low bits.
 BITS = 16
-#: Entries of an order and a language, as a power of two, and hash ranges of their arrays.
-SLOT_BITS, RANGE_BITS = 22, 4
+#: Entries of a hash range's arrays, about.
+RANGE_ROWS = 1 << 18
 #: Bytes of text that are taken at once: every character needs some hundred bytes then.
 PIECE_BYTES = 1 << 19
-#: Bytes of models that one broadcast holds; beyond it languages are scored in several passes.
+#: Bytes of models that one broadcast holds; beyond it texts are scored in several passes.
 MODEL_BYTES = 192 << 20
 #: Hashes of texts with copies that are broadcast; more go through a shuffled join.
 COPIED = 300_000
@@ -235,11 +236,13 @@ def fitted(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def models(table: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """l, k, range, hash, log_p, log_w: arrays sorted by hash, a row for each language, order and hash range. Of n-grams in one slot the most frequent one stays."""
-    h = F.xxhash64("gram")
-    slots = table.withColumn("hash", h).groupBy("l", "k", F.shiftrightunsigned("hash", 64 - slot_bits).alias("slot")).agg(F.max_by(F.struct("hash", "log_p", "log_w"), F.struct("n", "hash")).alias("e"))
-    ranges = slots.groupBy("l", "k", F.shiftright(F.col("e")["hash"], 64 - RANGE_BITS).alias("range")).agg(F.sort_array(F.collect_list("e")).alias("e"))  # 2 ** (slot_bits - RANGE_BITS) entries at most
+def models(table: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """l, k, range, hash, log_p, log_w: arrays sorted by hash, a row for each language, order and hash range of about range_rows entries."""
+    sizes = table.groupBy("l", "k").agg(F.count(F.lit(1)).alias("size"))
+    bits = F.ceil(F.log2(F.col("size") / F.lit(range_rows or RANGE_ROWS))).cast("int")
+    cut = table.join(lookup(sizes.select("l", "k", F.greatest(bits, F.lit(0)).alias("bits"))), ["l", "k"]).withColumn("hash", F.xxhash64("gram"))
+    own = F.when(F.col("bits") > 0, F.expr("shiftright(hash, 64 - bits)")).otherwise(F.lit(0).cast("long"))
+    ranges = cut.groupBy("l", "k", own.alias("range")).agg(F.sort_array(F.collect_list(F.struct("hash", "log_p", "log_w"))).alias("e"))
     return ranges.select("l", "k", "range", F.col("e")["hash"].alias("hash"), *(F.col("e")[c].cast("array<float>").alias(c) for c in ("log_p", "log_w")))
 
 
@@ -253,7 +256,8 @@ def loaded(rows: pa.Table) -> dict[int, list]:
             levels.append(([], [], []))
         for have, new in zip(levels[k.as_py()], (h, p, w), strict=True):
             have.append(new.values.to_numpy(zero_copy_only=False))
-    return {lang: [tuple(np.concatenate(x) for x in level) for level in levels] for lang, levels in out.items()}
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)  # noqa: E731  an order that isn't among the rows
+    return {lang: [tuple(map(joined, level)) for level in levels] for lang, levels in out.items()}
 
 
 class Sorted:
@@ -299,52 +303,80 @@ def log_probabilities(levels: list, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-METRICS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,log_ppl:double>"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+METRICS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_codes:long,log_sum:double>"
 
 
-def measured(docs: DataFrame, carry: list[str], column: str, order: int = ORDER) -> DataFrame:
-    """The carried columns of docs and a struct of counts and log-perplexity; languages are scored in groups whose models fit MODEL_BYTES."""
-    spark = docs.sparkSession
-    table = staged(models(fitted(count_grams(docs, order), order)), "kn-models")
-    sizes = table.groupBy("l").agg(F.sum(F.size("hash")).alias("n")).orderBy("l").collect()  # a row for each language
-    number, size, group_of = 0, 0, []
-    for lang, n in sizes:
+def grouped_ranges(sizes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(language, range, pass) for (language, range, entries): consecutive ranges share a pass as long as they fit MODEL_BYTES."""
+    number, size, out = 0, 0, []
+    for lang, part, n in sizes:
         if size and size + 16 * n > MODEL_BYTES:
             number, size = number + 1, 0
-        group_of.append((lang, number))
+        out.append((lang, part, number))
         size += 16 * n
-    text, lang_of, group = (fresh(x, docs.columns) for x in ("text_in", "lang_in", "group_in"))
-    own = docs.select(*carry, F.col("text").cast("string").alias(text), lang_key(F.col("lang").cast("string")).alias(lang_of))
-    groups = spark.createDataFrame(group_of, "l long, g int")
-    if number:  # languages without a model have empty texts, and go with the first group
-        own = own.join(lookup(groups.select(F.col("l").alias(group + "_l"), F.col("g").alias(group))), F.col(lang_of) == F.col(group + "_l"), "left").withColumn(group, F.coalesce(group, F.lit(0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*carry).schema.fields) + f", `{column}` {METRICS}"
-    out = None
-    for i in range(number + 1):
-        rows = table.join(F.broadcast(groups.where(F.col("g") == i)), "l").drop("g") if number else table  # a row for each language of the group
-        shared = spark.sparkContext.broadcast(loaded(rows.toArrow()))  # MODEL_BYTES, or one language
+    return out
+
+
+def log_sums(known: dict, langs: np.ndarray, code: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+    """The sum of each text's log-probabilities, over those n-grams that stand in `known`: language -> (finder, log-probabilities)."""
+    keys, logs = grams(code, bounds, order), np.zeros(len(code))
+    for lang, places in by_group(langs, bounds):
+        if len(places) and lang in known:
+            find, p = known[lang]
+            spot, seen = find(hashed(keys[places]))
+            logs[places[seen]] = p[spot[seen]]
+    return per_row(logs, bounds)
 
-        def run(batches, shared=shared):
-            levels = {lang: ready(model) for lang, model in shared.value.items()}
+
+def measured(docs: DataFrame, carry: list[str], column: str, order: int = ORDER) -> DataFrame:
+    """The carried columns of docs and a struct of counts and log-perplexity; hash ranges are scored in groups that fit MODEL_BYTES."""
+    spark = docs.sparkSession
+    table = staged(models(fitted(count_grams(docs, order), order).where(F.col("k") == order)), "kn-models")
+    sizes = table.select("l", "range", F.size("hash").alias("n")).orderBy("l", "range").collect()  # a row for each language and range
+    passes = grouped_ranges([tuple(r) for r in sizes])
+    several = bool(passes) and passes[-1][2] > 0
+    text, lang_of, row = (fresh(x, [*docs.columns, *carry]) for x in ("text_in", "lang_in", "row_in"))
+    own = docs.select(*carry, F.col("text").cast("string").alias(text), lang_key(F.col("lang").cast("string")).alias(lang_of))
+    if several:
+        own = staged(own.withColumn(row, F.monotonically_increasing_id()), "quality-input")
+    groups = spark.createDataFrame(passes, "l long, range long, g int")
+    kept = [*carry, *([row] if several else [])]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*kept).schema.fields) + f", `{column}` {METRICS}"
+    first, more = None, None
+    for i in range(passes[-1][2] + 1 if passes else 1):
+        rows = table.join(F.broadcast(groups.where(F.col("g") == i)), ["l", "range"]).drop("g") if several else table
+        shared = spark.sparkContext.broadcast(loaded(rows.toArrow()))  # MODEL_BYTES, or one range
+
+        def run(batches, shared=shared, counting=i == 0):
+            known = {lang: (Sorted(levels[order][0]), levels[order][1]) for lang, levels in shared.value.items()}
             for batch in batches:
                 langs = batch.column(batch.num_columns - 1).to_numpy()
                 got: list[dict] = []
                 for at, data, offsets in chunks(batch.column(batch.num_columns - 2), PIECE_BYTES):
-                    counts = text_counts(data, offsets)
+                    counts = text_counts(data, offsets) if counting else {}
                     code, bounds = characters(data, offsets)
-                    keys, logs = grams(code, bounds, order), np.zeros(len(code))
-                    for lang, places in by_group(langs[at : at + len(offsets) - 1], bounds):
-                        if len(places) and lang in levels:
-                            logs[places] = log_probabilities(levels[lang], keys[places])
-                    counts["log_ppl"] = -per_row(logs, bounds) / np.maximum(np.diff(bounds), 1)
+                    counts["n_codes"], counts["log_sum"] = np.diff(bounds), log_sums(known, langs[at : at + len(offsets) - 1], code, bounds, order)
                     got.append(counts)
-                metrics = pa.StructArray.from_arrays([pa.array(np.concatenate([g[f] for g in got])) for f in (*_FIELDS, "log_ppl")], [*_FIELDS, "log_ppl"])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], metrics], names=[*batch.schema.names[:-2], column])
-
-        part = (own.where(F.col(group) == i) if number else own).select(*carry, text, lang_of).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+                if counting:
+                    metrics = pa.StructArray.from_arrays([pa.array(np.concatenate([g[f] for g in got])) for f in (*_FIELDS, "n_codes", "log_sum")], [*_FIELDS, "n_codes", "log_sum"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], metrics], names=[*batch.schema.names[:-2], column])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([g["log_sum"] for g in got]))], names=[row, "more"])
+
+        if i == 0:
+            first = own.select(*kept, text, lang_of).mapInArrow(run, schema)
+        else:  # only texts of the pass's languages
+            langs = lookup(groups.where(F.col("g") == i).select(F.col("l").alias(lang_of)).distinct())
+            part = own.join(langs, lang_of, "left_semi").select(row, text, lang_of).mapInArrow(run, f"`{row}` long, more double")
+            more = part if more is None else more.unionByName(part)
+    m, log_sum = F.col(column), F.col(column)["log_sum"]
+    if several:
+        added = more.groupBy(F.col(row).alias(row + "_of")).agg(F.sum("more").alias(row + "_sum"))
+        first = first.join(added, F.col(row) == F.col(row + "_of"), "left")
+        log_sum = log_sum + F.coalesce(F.col(row + "_sum"), F.lit(0.0))
+    log_ppl = (-log_sum / F.greatest(m["n_codes"], F.lit(1))).alias("log_ppl")
+    return first.select(*carry, F.struct(*(m[f].alias(f) for f in _FIELDS), log_ppl).alias(column))
 
 
 def base_failed(m) -> F.Column:
