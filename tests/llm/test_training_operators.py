@@ -627,31 +627,57 @@ def test_license_scan_on_odd_rows(odd, none):
 
 
 def brute_finds(text, templates, cover=license_scan.COVER, near=license_scan.NEAR):
-    """Labels of the templates of which some span of 2 * near + 1 neighbouring diagonals covers enough grams, and the fullest cover."""
+    """Labels of the templates of which some chain of diagonals, each at most `near` beyond the one before, has enough grams in order; and the fullest cover."""
     w, labels, best = words_of(text), set(), 0.0
     for label, template in templates:
         tw = template.split()
         g = min(license_scan.GRAM, len(tw))
-        votes = [(p - t, t) for p in range(len(w) - g + 1) for t in range(len(tw) - g + 1) if w[p : p + g] == tw[t : t + g]]
-        for d in {d for d, _ in votes}:
-            share = len({t for e, t in votes if abs(e - d) <= near}) / (len(tw) - g + 1)
+        votes = sorted((p - t, t) for p in range(len(w) - g + 1) for t in range(len(tw) - g + 1) if w[p : p + g] == tw[t : t + g])
+        spans = []
+        for d, t in votes:
+            if not spans or d - spans[-1][-1][0] > near:
+                spans.append([])
+            spans[-1].append((d, t))
+        for span in spans:
+            first = {}
+            for d, t in span:
+                first.setdefault(t, d)
+            at = sorted(first.items())
+            n = 1 + sum(abs(y - x) <= near and t + x < u + y for (t, x), (u, y) in zip(at, at[1:], strict=False))
+            share = n / (len(tw) - g + 1)
             best = max(best, share)
             labels |= {label} if share >= cover else set()
     return ",".join(sorted(labels)), round(best, 6)
 
 
+def stuffed(text, every):
+    """The text with two words put in after every so many."""
+    w = text.split()
+    return " ".join(" ".join(w[i : i + every]) + f" put{i} in{i}" for i in range(0, len(w), every))
+
+
+@pytest.mark.parametrize("every", [8, 10, 12])
+def test_licenses_with_words_put_in(spark, every):
+    texts = [("apache-2", license_scan.TEMPLATES[-3][1]), ("isc", next(t for label, t in license_scan.TEMPLATES if label == "isc")), ("mit", license_scan.TEMPLATES[13][1])]
+    rows = [(i, f"some words before {stuffed(t, every)} and after") for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {}).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert label in got[i].labels.split(",") and got[i].finds[0].first_word == 3
+        assert (got[i].labels, got[i].score) == brute_finds(rows[i][1], license_scan.TEMPLATES)
+
+
 def test_license_spans_against_brute_force(spark):
     notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
     texts = [
         "intro words permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files end",
         "free of charge " * 14, "to the extent possible under law the " + "all copyright and " * 12, "General Public License " * 6, notice, f"{notice} {notice}", "the license " * 50, "of this software " * 30 + notice,
-        " ".join(notice.split()[::-1]), " ".join(w + (" extra" if i % 4 == 0 else "") for i, w in enumerate(notice.split())), "under the terms of the gnu lesser general public license",
+        " ".join(notice.split()[::-1]), " ".join(" ".join(notice.split()[k : k + 4]) for k in (12, 4, 16, 0, 8)), " ".join(w + (" extra" if i % 4 == 0 else "") for i, w in enumerate(notice.split())), "under the terms of the gnu lesser general public license",
     ]
     rows = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}).collect()}
     for i, text in enumerate(texts):
         assert (rows[i].labels, rows[i].score) == brute_finds(text, license_scan.TEMPLATES), text
     assert rows[0].labels == "mit" and rows[0].score > 0.6 and rows[4].labels == "mit" and rows[4].score == 1
-    assert rows[1].labels == rows[2].labels == rows[3].labels == rows[6].labels == rows[8].labels == ""
+    assert rows[1].labels == rows[2].labels == rows[3].labels == rows[6].labels == rows[8].labels == rows[9].labels == ""
     assert [f.first_word for f in rows[5].finds] == [0, 20] and [f.first_word for f in rows[7].finds] == [90]
 
 

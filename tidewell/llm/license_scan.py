@@ -2,11 +2,12 @@
 
 All rolling hashes of GRAM words of the whole texts (of fewer, where a template has fewer) are joined with the places of the same hashes in
 the templates (a fixed, small table). A match whose words are equal too votes for a diagonal: its place in the document less its place in
-the template. Votes are summed by document, template and diagonal; on one diagonal every template place can vote once. Diagonals up to
-NEAR apart are merged, as words that were put in or left out move them: a span is a diagonal with its neighbours on either side, and it is
-verified by the share of the template's grams that stand there, each counted once wherever it was found. So a passage that repeats a few
-grams of a template many times covers those few only. A span is a find if it covers enough. Phrases are templates as well, whose words are
-compared one by one where their first gram votes. Nothing but DataFrame functions runs.
+the template. Votes are summed by document, template and diagonal; on one diagonal every template place can vote once. Words that were put in
+or left out move the diagonal, so neighbouring ones are merged: each that is at most NEAR beyond the one before it goes on with that one's
+span, however far a span moves in all. A span is verified by the template's places in it, each taken once, where it first stands: it covers
+those that follow the template's place before them in the document, too, on a diagonal at most NEAR away. So a passage that repeats a few
+grams of a template many times covers those few only, and one that has them in another order covers little. A span is a find if it covers
+enough. Phrases are templates as well, whose words are compared one by one where their first gram votes. Nothing but DataFrame functions runs.
 
 Templates are the notices by which works name their license, and the license texts, one template for each paragraph.
 
@@ -102,19 +103,29 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     own = ["row", "doc_id", "n_words", "template", "label", "grams", "phrase"]
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("p") - F.col("t")).cast("long")
     votes = places.join(F.broadcast(table), "gram").select(*own, "t", diagonal.alias("diagonal"), (aligned | (F.col("template") < 0)).alias("equal"), exact.alias("exact"))
-    diagonals = votes.groupBy(*own, "diagonal").agg(F.collect_set(F.when(F.col("equal"), F.col("t"))).alias("covered"), F.max("exact").alias("exact"))  # a template's grams at most
-    line = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)  # a diagonal of one text and its neighbours: 2 * NEAR + 1 at most
-    span = F.size(F.array_distinct(F.flatten(F.collect_list("covered").over(line)))) / F.col("grams")
-    spans = diagonals.withColumn("cover", F.when(F.col("phrase") | (F.col("template") < 0), F.col("exact").cast("double")).otherwise(span))
-    real = (F.col("template") >= 0) & F.when(F.col("phrase"), F.col("exact")).otherwise(F.col("cover") >= cover)
-    # of the diagonals of a span the fullest one names it
-    best = W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
-    named = spans.withColumn("real", real).withColumn("top", F.max(F.struct("cover", (-F.col("diagonal")).alias("at"))).over(best))
-    find = F.when(F.col("real") & ((F.col("phrase")) | (F.col("top")["at"] == -F.col("diagonal"))), F.struct("label", F.greatest("diagonal", F.lit(0)).alias("first_word"), "cover"))
+    diagonals = votes.groupBy(*own, "diagonal").agg(F.collect_set(F.when(F.col("equal"), F.col("t"))).alias("places"), F.max("exact").alias("exact"))  # a template's grams at most
+    # gaps and islands: a diagonal far from the one before it begins a span; phrases' diagonals stay by themselves
+    line = W.partitionBy("row", "template").orderBy("diagonal")
+    begins = F.coalesce(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(line) > NEAR), F.lit(True))
+    spans = diagonals.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(line))
+    # a place of the template, where the span has it first: rows of a span are as many as its template has grams
+    every = spans.select(*own, "span", "diagonal", "exact", F.posexplode_outer("places").alias("nth", "t"))
+    once = F.when(F.col("exact") & (F.coalesce("nth", F.lit(0)) == 0), F.col("diagonal"))
+    firsts = every.groupBy(*own, "span", "t").agg(F.min("diagonal").alias("d"), F.count(once).alias("n_exact"), F.min(once).alias("first_exact"), F.max(once).alias("last_exact"))
+    at = F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "d"))))
+    merged = firsts.groupBy(*own, "span").agg(at.alias("at"), F.sum("n_exact").alias("n_exact"), F.min("first_exact").alias("first_exact"), F.max("last_exact").alias("last_exact"))
+    follows = lambda x, y: (F.abs(y["d"] - x["d"]) <= NEAR) & (y["t"] + y["d"] > x["t"] + x["d"])
+    steps = F.size(F.filter(F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), lambda x, y: F.coalesce(follows(x, y), F.lit(False))), lambda ok: ok))
+    share = F.when(F.size("at") > 0, (1 + steps) / F.col("grams")).otherwise(0.0)
+    merged = merged.withColumn("cover", F.when(F.col("phrase") | (F.col("template") < 0), (F.col("n_exact") > 0).cast("double")).otherwise(share))
+    real = (F.col("template") >= 0) & F.when(F.col("phrase"), F.col("n_exact") > 0).otherwise(F.col("cover") >= cover)
+    named = merged.withColumn("real", real)
+    start = F.greatest(F.coalesce("first_exact", F.get("at", F.lit(0))["d"]), F.lit(0))
+    find = F.when(F.col("real"), F.struct("label", start.alias("first_word"), "cover"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return named.groupBy("row", "doc_id", "n_words").agg(
-        F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("diagonal"))).alias("first_word"), F.max(F.when(F.col("exact"), F.col("diagonal"))).alias("last_word"),
-        labels(F.col("exact")).alias("base_labels"), labels(F.col("real")).alias("labels"), F.round(F.coalesce(F.max(F.when(F.col("template") >= 0, F.col("cover"))), F.lit(0.0)), 6).alias("score"), F.array_sort(F.collect_list(find)).alias("finds"),
+        F.sum("n_exact").alias("n_base"), F.min("first_exact").alias("first_word"), F.max("last_exact").alias("last_word"), labels(F.col("n_exact") > 0).alias("base_labels"), labels(F.col("real")).alias("labels"),
+        F.round(F.coalesce(F.max(F.when(F.col("template") >= 0, F.col("cover"))), F.lit(0.0)), 6).alias("score"), F.array_sort(F.collect_list(find)).alias("finds"),
     ).drop("row")
 
 
@@ -133,8 +144,14 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS} AS w FROM document
 dg AS (SELECT rid, w, p, w[p + 1 : p + {GRAM}] AS g FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {GRAM - 1}, 0))) AS p FROM d)),
 votes AS (SELECT rid, template, label, phrase, grams, t, p - t AS diagonal, phrase AND t = 0 AND w[p + 1 : p + len(tw)] = tw AS exact FROM dg JOIN tg USING (g)),
 diag AS (SELECT rid, template, label, phrase, grams, diagonal, bool_or(exact) AS exact FROM votes GROUP BY ALL),
-cov AS (SELECT a.rid, a.template, a.diagonal, count(DISTINCT b.t) AS covered FROM diag a JOIN votes b ON a.rid = b.rid AND a.template = b.template AND b.diagonal BETWEEN a.diagonal - {NEAR} AND a.diagonal + {NEAR} GROUP BY ALL),
-finds AS (SELECT rid, template, label, phrase, CASE WHEN phrase THEN CASE WHEN exact THEN 1.0 ELSE 0.0 END ELSE covered / grams END AS cover, exact, diagonal FROM diag JOIN cov USING (rid, template, diagonal)),
+islands AS (SELECT rid, template, diagonal, sum(begins) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span
+  FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS begins FROM diag WHERE NOT phrase)),
+first_at AS (SELECT rid, template, label, grams, span, t, min(diagonal) AS d FROM votes JOIN islands USING (rid, template, diagonal) GROUP BY ALL),
+steps AS (SELECT *, abs(d - lag(d) OVER w) <= {NEAR} AND t + d > lag(t + d) OVER w AS follows FROM first_at WINDOW w AS (PARTITION BY rid, template, span ORDER BY t)),
+finds AS (
+  SELECT rid, label, phrase, CASE WHEN exact THEN 1.0 ELSE 0.0 END AS cover, exact, diagonal FROM diag WHERE phrase
+  UNION ALL
+  SELECT rid, label, false, (1 + count(*) FILTER (follows)) / any_value(grams), false, NULL FROM steps GROUP BY rid, template, label, span),
 per AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first_word, max(diagonal) FILTER (exact) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
   array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN phrase THEN exact ELSE cover >= {COVER} END)), ',') AS labels,
