@@ -426,6 +426,9 @@ def test_runs_repeat_until_the_target_recall(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MORE", 1)
     ngram_join.candidate_groups(ngram_join.staged(nodes, "nodes"), report=few)
     assert few["runs"] > 1 and few["recall"] >= ngram_join.TARGET
+    monkeypatch.setattr(ngram_join, "MOST", few["runs"])
+    with pytest.raises(RuntimeError, match="below its target"):
+        ngram_join.candidate_groups(ngram_join.staged(nodes, "nodes"), target=1.1)
 
 
 def test_one_of_each_stays(odd, none, docs):

@@ -8,9 +8,10 @@
    those near it are linked to the nearest one, and the very near ones leave the bucket, so a group of near copies doesn't stay together
    to be compared pair by pair. Small buckets are compared by brute force, however many nodes they hold.
 3. Nodes whose signatures agree in at least CANDIDATE of the values make candidate components. After the first FIRST runs, recall is
-   measured: PROBE nodes, chosen by hash, are compared with all nodes, and those that agree in PROBE_AGREE values (fewer than what a pair
-   at the threshold has on average, so the measure is a strict one) should be in their components. While less than TARGET of them are,
-   MORE runs are made.
+   measured: PROBE nodes at a time, chosen by hash, are compared with all nodes until PAIRS pairs are seen (or PROBE_MOST nodes were tried;
+   a corpus of no more is compared as a whole), and those that agree in PROBE_AGREE values (fewer than what a pair at the threshold has on
+   average, so the measure is a strict one) should be in their components. While less than TARGET of them are, MORE runs are made; a join
+   that misses its target after MOST runs fails.
 4. Within candidate components, the exact Jaccard similarity of all pairs of nodes is computed, in blocks of BLOCK nodes, and every link of
    `threshold` or more is counted.
 
@@ -38,6 +39,8 @@ SIGNATURE = 64
 FIRST, MORE, MOST = 6, 4, 42
 TARGET = 0.999
 PROBE, PROBE_AGREE = 512, 46
+#: Pairs that a measure of recall should rest on, and probe nodes that are tried for them.
+PAIRS, PROBE_MOST = 2000, 2048
 DEPTH = 6
 SMALL = 48
 CANDIDATE = 38  # of 64: four standard deviations below 0.8
@@ -252,11 +255,23 @@ def candidates(nodes: DataFrame, run_ids: range | list[int] = range(FIRST)) -> D
 
 
 def probed(nodes: DataFrame, groups: DataFrame) -> tuple[int, int]:
-    """(pairs of a probe node and any other node that agree in PROBE_AGREE values, those of them that are in one group). Each node is compared with PROBE nodes, in batches."""
-    probe = nodes.orderBy(F.xxhash64("node", F.lit("probe"))).limit(PROBE)
-    rows = probe.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig").collect()  # PROBE rows
-    if not rows:
-        return 0, 0
+    """(pairs of a probe node and any other node that agree in PROBE_AGREE values, those of them that are in one group).
+
+    PROBE nodes at a time are compared with all nodes, until PAIRS pairs are seen or PROBE_MOST nodes, in a small corpus all, were probes.
+    """
+    order = F.xxhash64("node", F.lit("probe"))
+    every = met = taken = 0
+    while every < PAIRS and taken < PROBE_MOST:
+        chosen = nodes.orderBy(order).limit(taken + PROBE)
+        rows = chosen.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sig", order.alias("place")).orderBy("place").collect()[taken:]  # PROBE_MOST rows at most
+        if not rows:
+            break
+        seen, together = _compared(nodes, groups, rows)
+        every, met, taken = every + seen, met + together, taken + len(rows)
+    return every, met
+
+
+def _compared(nodes: DataFrame, groups: DataFrame, rows: list) -> tuple[int, int]:
     roots, place = np.unique(np.array([r.root for r in rows], np.int64), return_inverse=True)
     own = np.array([r.node for r in rows], np.int64)
     few = (np.array([r.sig for r in rows], np.int32) & 255).astype(np.uint8)  # chance agreement of a value is 1 in 256
@@ -289,8 +304,10 @@ def candidate_groups(nodes: DataFrame, target: float = TARGET, report: dict | No
         _LOG.info("n-gram join: %d runs, recall %.5f of %d probe pairs", done, recall, every)
         if report is not None:
             report.update(runs=done, probe_pairs=every, recall=recall)
-        if recall >= target or done >= MOST:
+        if recall >= target:
             return groups
+        if done >= MOST:
+            raise RuntimeError(f"the join's recall is {recall:.5f} of {every} probe pairs after {done} runs, below its target of {target}")
 
 
 def components(links: DataFrame) -> DataFrame:
