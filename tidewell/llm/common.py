@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Bytes of text that one numpy chunk holds (a longer single text makes a chunk of its own).
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch: both an executor's JVM and its Python workers hold a batch at once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Words as the contamination and license scans take them: runs of 0-9, a-z and non-ASCII (after A-Z is lowered).
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,8 +136,31 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, as the worker lives on beside the next stage's executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def frugal(run):
+    """run (batches to batches), with its memory released when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, unless their PYTHONPATH has it already."""
+    """Sends the package to the executors, unless their PYTHONPATH has it already; and has Arrow batches of at most BATCH_BYTES, unless the cluster sets that."""
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     if str(root) in map(os.path.abspath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_tidewell_sent", False):
         return

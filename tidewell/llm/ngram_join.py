@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh, mixed, runs, span_hashes, staged
+from .common import chunks, fresh, frugal, mixed, runs, span_hashes, staged
 
 _LOG = logging.getLogger(__name__)
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "node", "size", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, size long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, node long, size long, sig array<int>")
 
 
 # ---- chosen paths ----
@@ -250,7 +250,7 @@ def candidates(nodes: DataFrame, run_ids: range | list[int] = range(FIRST)) -> D
         link = near.join(heads, "key").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
         links = link if links is None else links.unionByName(link)
         rows = seen.where(F.col("same") < CLOSE).select("node", F.explode(_children(F.col("key"), F.col("sig"))).alias("key"))
-    brute = leaves.join(nodes, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(_brute, "a long, b long")
+    brute = leaves.join(nodes, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_brute), "a long, b long")
     return staged((brute if links is None else brute.unionByName(links)).distinct(), "links")
 
 
@@ -285,7 +285,7 @@ def _compared(nodes: DataFrame, groups: DataFrame, rows: list) -> tuple[int, int
             at, root = np.nonzero(found)
             yield pa.record_batch([pa.array(node[at]), pa.array(roots[root]), pa.array(found[at, root].astype(np.int64))], names=["node", "probe_root", "n"])
 
-    hits = nodes.select("node", "sig").mapInArrow(run, "node long, probe_root long, n long").join(groups, "node", "left")
+    hits = nodes.select("node", "sig").mapInArrow(frugal(run), "node long, probe_root long, n long").join(groups, "node", "left")
     there = F.coalesce("root", "node") == F.col("probe_root")
     r = hits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("met")).first()
     return r.every, r.met
@@ -357,7 +357,7 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
         theirs = rows.join(_small(several), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi").select("text")
         wanted = _small(active.select(F.col("node").alias("want_node")))
         found = found.unionByName(_with_nodes(theirs, "want").join(wanted, F.col("want") == F.col("want_node"), "left_semi"))
-    return staged(found.mapInArrow(run, "node long, shingles binary"), "sets").dropDuplicates(["node"])
+    return staged(found.mapInArrow(frugal(run), "node long, shingles binary"), "sets").dropDuplicates(["node"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -431,7 +431,7 @@ def _classified(docs: DataFrame, threshold: float, target: float, report: dict |
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("job", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "shingles")
     )
-    found = staged(jobs.repartition("job", "x", "y").sortWithinPartitions("job", "x", "y").mapInArrow(_verify(threshold), "a long, b long, n long"), "verified")
+    found = staged(jobs.repartition("job", "x", "y").sortWithinPartitions("job", "x", "y").mapInArrow(frugal(_verify(threshold)), "a long, b long, n long"), "verified")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
     of_node = staged(nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "node-classes")
@@ -459,7 +459,7 @@ def _with_nodes(docs: DataFrame, column: str) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(parts)], names=[*batch.schema.names[:-1], column])
 
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
 def _small(table: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, lookup, mixed, per_row, runs, span_hashes, staged
+from .common import chunks, fresh, frugal, lookup, mixed, per_row, runs, span_hashes, staged
 
 ORDER = 4
 #: Bits of a character in a packed n-gram; characters beyond the first plane share the codes of their low bits.
@@ -174,7 +174,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("lang"), F.col("text")))
     several = lookup(own.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), COPIED)
-    parts = own.join(several, "key", "left").select(lang_key(F.col("lang")).alias("l"), "text", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(run, "l long, gram long, n double")
+    parts = own.join(several, "key", "left").select(lang_key(F.col("lang")).alias("l"), "text", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(frugal(run), "l long, gram long, n double")
     return parts.groupBy("l", "gram").agg(F.greatest(F.round(F.sum("n")), F.lit(1.0)).cast("long").alias("n"))
 
 
@@ -365,10 +365,10 @@ def measured(docs: DataFrame, carry: list[str], column: str, order: int = ORDER)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([g["log_sum"] for g in got]))], names=[row, "more"])
 
         if i == 0:
-            first = own.select(*kept, text, lang_of).mapInArrow(run, schema)
+            first = own.select(*kept, text, lang_of).mapInArrow(frugal(run), schema)
         else:  # only texts of the pass's languages
             langs = lookup(groups.where(F.col("g") == i).select(F.col("l").alias(lang_of)).distinct())
-            part = own.join(langs, lang_of, "left_semi").select(row, text, lang_of).mapInArrow(run, f"`{row}` long, more double")
+            part = own.join(langs, lang_of, "left_semi").select(row, text, lang_of).mapInArrow(frugal(run), f"`{row}` long, more double")
             more = part if more is None else more.unionByName(part)
     m, log_sum = F.col(column), F.col(column)["log_sum"]
     if several:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, span_hashes
+from .common import chunks, frugal, shared_dir, span_hashes
 
 BLOCK = 4096
 END_ID = 0
@@ -297,7 +297,7 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
                 seq, before = seq + b - a, before + int(n.sum())
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frugal(run), FILE_SCHEMA)
 
 
 def decode_files(files: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def decode_files(files: DataFrame) -> DataFrame:
                 crc[a:b] = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n[a:b].tolist(), strict=True)]
             yield pa.record_batch([batch.column(c) for c in ("part", "seq", "doc_id", "n_tokens", "local_start")] + [pa.array(crc)], names=["part", "seq", "doc_id", "n_tokens", "local_start", "ids_crc32"])
 
-    return files.mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, local_start long, ids_crc32 long")
+    return files.mapInArrow(frugal(run), "part int, seq long, doc_id long, n_tokens long, local_start long, ids_crc32 long")
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json") -> None:
