@@ -136,8 +136,13 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+#: What a worker keeps between tasks, by name.
+KEPT: dict[str, object] = {}
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to the system, as the worker lives on beside the next stage's executor."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -145,10 +150,17 @@ def release() -> None:
         return
 
 
-def frugal(run):
-    """run (batches to batches), with its memory released when a task ends."""
+def forget(uses: tuple[str, ...]) -> None:
+    """Drops what the worker keeps, but for what is used now."""
+    for name in KEPT.keys() - set(uses):
+        del KEPT[name]
+
+
+def frugal(run, uses: tuple[str, ...] = ()):
+    """run (batches to batches), with its memory released when a task ends; what the worker has kept for other operators goes when one begins."""
 
     def wrapped(batches):
+        forget(uses)
         try:
             yield from run(batches)
         finally:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, frugal, shared_dir, span_hashes
+from .common import KEPT, chunks, frugal, shared_dir, span_hashes
 
 BLOCK = 4096
 END_ID = 0
@@ -119,7 +119,7 @@ class Encoder:
     """
 
     #: Pieces that are remembered: some 50 bytes each. Slots of the hash table that finds them.
-    CACHE, SLOTS = 1_500_000, 1 << 22
+    CACHE, SLOTS = 900_000, 1 << 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -244,16 +244,14 @@ class Encoder:
         return ids, np.diff(bounds[np.searchsorted(starts, offsets)])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
     """This worker's encoder; name: a file of public_tokenizers, or a path."""
-    if name not in _encoders:
+    known: dict[str, Encoder] = KEPT.setdefault("encoders", {})
+    if name not in known:
         import public_tokenizers
 
-        _encoders[name] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name))
-    return _encoders[name]
+        known[name] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name))
+    return known[name]
 
 
 FILE_SCHEMA = "part int, seq long, doc_id long, n_tokens long, local_start long, blocks binary, words binary"
@@ -297,7 +295,7 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
                 seq, before = seq + b - a, before + int(n.sum())
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frugal(run), FILE_SCHEMA)
+    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frugal(run, ("encoders",)), FILE_SCHEMA)
 
 
 def decode_files(files: DataFrame) -> DataFrame:
