@@ -397,6 +397,26 @@ def test_large_group_of_near_copies(spark):
     assert got == Counter(brute_pairs(df.collect()))
 
 
+def test_spanning_links_connect_what_the_hits_connect():
+    rng = np.random.default_rng(1)
+    for trial in range(100):
+        same = trial % 2 == 0
+        n, m = rng.integers(1, 12, 2)
+        hit = rng.random((n, n) if same else (n, m)) < 0.5 * rng.random()
+        if same:
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+        want, got = ngram_join.Forest(), ngram_join.Forest()
+        at = 0 if same else 1000  # rows and columns are other sets
+        for i, j in np.argwhere(hit).tolist():
+            want.add(i, j + at)
+        for i, j in ngram_join.spanning(hit, same):
+            assert hit[i, j]
+            got.add(i, j + at)
+        assert len(got.links) == len(want.links) == len(ngram_join.spanning(hit, same))
+        assert all(got.root(i) == got.root(j + at) for i, j in np.argwhere(hit).tolist())
+
+
 def test_every_pair_of_a_bucket_is_compared():
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 1 << 30, (120, ngram_join.SIGNATURE)).astype(np.int32)

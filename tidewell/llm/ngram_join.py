@@ -383,6 +383,25 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def spanning(hit: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links (row, column) that connect what the matrix connects; same: rows and columns are the same sets, so it is symmetric. Each row is looked at once, and no list of all hits is made."""
+    rows_left = np.ones(hit.shape[0], bool)
+    columns_left = rows_left if same else np.ones(hit.shape[1], bool)
+    out: list[tuple[int, int]] = []
+    for first in np.flatnonzero(hit.any(axis=1)).tolist():
+        if not rows_left[first]:
+            continue
+        rows_left[first] = False
+        todo = [(first, True)]
+        while todo:
+            i, is_row = todo.pop()
+            new = np.flatnonzero((hit[i] & columns_left) if is_row else (hit[:, i] & rows_left))
+            (columns_left if is_row else rows_left)[new] = False
+            out += [(i, j) if is_row else (j, i) for j in new.tolist()]
+            todo += [(j, same or not is_row) for j in new.tolist()]
+    return out
+
+
 def _verify(threshold: float):
     def run(batches):
         for table in _grouped(batches, ["job", "x", "y"]):
@@ -403,13 +422,11 @@ def _verify(threshold: float):
             links[left] += hit @ copies[right]
             if x != y:
                 links[right] += hit.T @ copies[left]
-            forest = Forest()
-            for i, j in np.argwhere(np.triu(hit) if x == y else hit).tolist():
-                forest.add(int(node[left[i]]), int(node[right[j]]))
+            joined = np.array(spanning(hit, x == y), np.int64).reshape(-1, 2)
             own = np.flatnonzero(links)
-            a = np.concatenate([node[own], np.array([e[0] for e in forest.links], np.int64)]).astype(np.int64)
-            b = np.concatenate([np.zeros(len(own), np.int64), np.array([e[1] for e in forest.links], np.int64)]).astype(np.int64)
-            n = np.concatenate([links[own], np.zeros(len(forest.links), np.int64)])
+            a = np.concatenate([node[own], node[left[joined[:, 0]]]]).astype(np.int64)
+            b = np.concatenate([np.zeros(len(own), np.int64), node[right[joined[:, 1]]]]).astype(np.int64)
+            n = np.concatenate([links[own], np.zeros(len(joined), np.int64)])
             yield pa.record_batch([pa.array(a), pa.array(b, mask=np.arange(len(a)) < len(own)), pa.array(n)], names=["a", "b", "n"])
 
     return run
