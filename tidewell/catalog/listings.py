@@ -97,12 +97,12 @@ def titles_of_all(t):
 
 
 _RELEVANCE = rules.RelevancePack(r"\bdata engineer\b", r"\bdata\b", r"\bclerk\b", r"\b(spark|sql|kafka)\b", r"\bdata\b", r"\bguard\b", r"\bsales\b", r"\bsecurity\b")
-_REQUIRED = rules.RequirementPack([rules.Term("SQL")], [rules.Term("Spark"), rules.Term("Kafka")], [], r"(?i)(?:^|\n)requirements:", r"(?i)(?:^|\n)preferred:", r"(?i)(?:^|\n)benefits:")
+_REQUIRED = rules.RequirementPack([rules.Term("SQL")], [rules.Term("Spark"), rules.Term("Kafka")], [rules.Term("First aid"), rules.Term("Forklift")], r"(?i)(?:^|\n)requirements:", r"(?i)(?:^|\n)preferred:", r"(?i)(?:^|\n)benefits:")
 POLICY = plan.Policy(_RELEVANCE, _REQUIRED, [rules.Category("engineering", r"\bengineer\b", r"\bspark\b"), rules.Category("office", r"\bclerk\b")])
 _ROLE = ["Senior Data Engineer", "Data Engineer", "Junior Data Engineer", "Security guard", "Sales clerk", "Clerk", "", "Data steward"]
 _FIRM = ["Acme Inc.", "Beta Ltd", "  ", "Gamma"]
 _WHERE = ["Toronto, ON", "Ottawa, Ontario", "Paris", "Remote, Canada", ""]
-_SAID = ["Spark and SQL", "Kafka and Spark. 3 years of experience", "nothing of note"]
+_SAID = ["Spark and SQL", "Kafka and Spark. 3 years of experience, first aid", "nothing of note but a forklift and first aid ticket"]
 _PAID = [None, "$100,000 - $120,000 annually", "$40 - $50 per hour"]
 _FROM = ["lever", "greenhouse", "adzuna"]
 
@@ -171,7 +171,8 @@ def search_listings_page(t):
 
 @query(f"""{_MADE},
 a AS (SELECT *, CASE WHEN contains(t, 'Engineer') THEN 'engineering' WHEN contains(t, 'Clerk') THEN 'office' WHEN contains(d, 'Spark') THEN 'engineering' ELSE 'other' END AS category, coalesce(city, CASE WHEN remote THEN 'Remote' ELSE 'Other' END) AS place FROM n WHERE reason IS NULL AND contains(lower(t || ' ' || company || ' ' || coalesce(city, '') || ' ' || loc || ' ' || d), 'acme')),
-v AS (SELECT 'categories' AS facet, category AS value FROM a UNION ALL SELECT 'experience', level FROM a UNION ALL SELECT 'arrangement', arrangement FROM a UNION ALL SELECT 'employment', 'unknown' FROM a UNION ALL SELECT 'cities', place FROM a UNION ALL SELECT 'companies', company FROM a UNION ALL SELECT 'sources', upper(src) FROM a UNION ALL SELECT 'skills', unnest(tech) FROM a)
+v AS (SELECT 'categories' AS facet, category AS value FROM a UNION ALL SELECT 'experience', level FROM a UNION ALL SELECT 'arrangement', arrangement FROM a UNION ALL SELECT 'employment', 'unknown' FROM a UNION ALL SELECT 'cities', place FROM a UNION ALL SELECT 'companies', company FROM a UNION ALL SELECT 'sources', upper(src) FROM a UNION ALL SELECT 'skills', unnest(tech) FROM a
+  UNION ALL SELECT 'certifications', 'First aid' FROM a WHERE contains(d, 'first aid') UNION ALL SELECT 'certifications', 'Forklift' FROM a WHERE contains(d, 'forklift'))
 SELECT facet, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, value) AS INT) AS rank FROM v WHERE value IS NOT NULL GROUP BY facet, value
 """)
 def search_listings_facets(t):
@@ -183,7 +184,8 @@ a AS (SELECT *, CASE WHEN contains(t, 'Engineer') THEN 'engineering' WHEN contai
   CASE WHEN city = 'Toronto' THEN 'GTA' WHEN city = 'Ottawa' THEN 'East' WHEN remote THEN 'Remote (Canada)' ELSE 'Unspecified' END AS region, coalesce(city, CASE WHEN remote THEN 'Remote' ELSE 'Unspecified' END) AS place FROM n WHERE reason IS NULL),
 v AS (
   SELECT 'category' AS list, category AS value, k, 0 AS pos FROM a UNION ALL SELECT 'experience', level, k, 0 FROM a UNION ALL SELECT 'region', region, k, 0 FROM a UNION ALL SELECT 'city', place, k, 0 FROM a
-  UNION ALL SELECT 'employers', company, k, 0 FROM a UNION ALL SELECT 'source', src, k, 0 FROM a UNION ALL SELECT 'technologies', unnest(tech), k, generate_subscripts(tech, 1) - 1 FROM a)
+  UNION ALL SELECT 'employers', company, k, 0 FROM a UNION ALL SELECT 'source', src, k, 0 FROM a UNION ALL SELECT 'technologies', unnest(tech), k, generate_subscripts(tech, 1) - 1 FROM a
+  UNION ALL SELECT 'certifications', 'First aid', k, 0 FROM a WHERE contains(d, 'first aid') UNION ALL SELECT 'certifications', 'Forklift', k, 1 FROM a WHERE contains(d, 'forklift'))
 SELECT list, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY list ORDER BY count(*) DESC, min(k * 100 + pos)) AS INT) AS rank FROM v GROUP BY list, value
 """)
 def dashboard_lists(t):

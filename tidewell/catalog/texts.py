@@ -1,7 +1,8 @@
-"""Text, date, pay and rule expressions over the test tables and over small literal corpora."""
+"""Text, date, pay and rule expressions over the test tables."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,19 +10,20 @@ from pyspark.sql import functions as F
 from tidewell.functions import dates, geo, rules, salary, text
 
 from . import query
+from .listings import pick, picked
 
 c = F.col
 NOW = datetime(2024, 6, 1)
 
 
-def corpus(t, rows: list[tuple], schema: str):
-    """A literal table in the session of a test table."""
-    return t("region").sparkSession.createDataFrame(rows, schema)
+def dealt(t, table: str, key: str, rows: list[tuple], names: list[str]):
+    """Every row of a table with the columns of rows[key mod number of rows]; id: the key."""
+    return t(table).select(c(key).alias("id"), *(pick([r[i] for r in rows], c(key)).alias(x) for i, x in enumerate(names)))
 
 
-def values(rows: list[tuple]) -> str:
-    say = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows)
+def expected(table: str, key: str, rows: list[tuple], names: dict[str, str]) -> str:
+    """The same in SQL for what is expected: names with their types."""
+    return f"SELECT {key} AS id, " + ", ".join(f"CAST({picked([r[i] for r in rows], key)} AS {kind}) AS {x}" for i, (x, kind) in enumerate(names.items())) + f" FROM {table}"
 
 
 _ENT = "replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
@@ -34,7 +36,19 @@ def html_to_text(t):
     return t("pages").select("page_id", text.html_to_text(c("html")).alias("plain"))
 
 
-@query()
+_TAG = r"</?[a-zA-Z][a-zA-Z0-9]*(?:[^A-Za-z0-9_](?s:.*))?$"
+_HREF = r"""href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]+))"""
+_ALLOWED = "p br ul ol li strong b em i u h1 h2 h3 h4 h5 h6 a blockquote code pre hr span div table thead tbody tr td th"
+
+
+@query(rf"""
+WITH d AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script.*?</script>', '', 'gis'), '<style.*?</style>', '', 'gis'), '<iframe.*?</iframe>', '', 'gis'), '<(object|embed|form|input|button|link|meta|base)\b[^>]*>', '', 'gi'), '>') AS p FROM pages),
+s AS (SELECT page_id, len(p) AS n, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM d), t AS (SELECT *, CASE WHEN i < n THEN regexp_extract(s, '{_TAG}') ELSE '' END AS tag FROM s),
+a AS (SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z0-9]+)', 1)) AS name, trim(regexp_extract(tag, '{_HREF}', 1, 'i') || regexp_extract(tag, '{_HREF}', 2, 'i') || regexp_extract(tag, '{_HREF}', 3, 'i')) AS url FROM t),
+k AS (SELECT *, CASE WHEN i = n THEN '' WHEN tag = '' THEN '>' WHEN NOT list_contains(string_split('{_ALLOWED}', ' '), name) THEN '' WHEN starts_with(tag, '</') THEN '</' || name || '>' WHEN name <> 'a' THEN '<' || name || '>'
+  WHEN regexp_matches(url, '^(?i)https?://') THEN '<a href="' || replace(url, '"', '&quot;') || '" target="_blank" rel="nofollow noopener noreferrer">' ELSE '<a>' END AS shown FROM a)
+SELECT page_id, regexp_replace(regexp_replace(string_agg(left(s, length(s) - length(tag)) || shown, '' ORDER BY i), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS safe FROM k GROUP BY page_id
+""")
 def html_sanitize(t):
     return t("pages").select("page_id", text.sanitize_html(c("html")).alias("safe"))
 
@@ -59,9 +73,9 @@ _TITLES = [
 ]
 
 
-@query(f"SELECT id, title AS title FROM (VALUES {values([(i, x) for i, _, x in _TITLES])}) v(id, title)")
+@query(expected("part", "p_partkey", [r[2:] for r in _TITLES], {"title": "VARCHAR"}))
 def title_clean_corpus(t):
-    return corpus(t, [(i, x) for i, x, _ in _TITLES], "id int, raw string").select("id", text.normalize_title(c("raw")).alias("title"))
+    return dealt(t, "part", "p_partkey", [r[1:2] for r in _TITLES], ["raw"]).select("id", text.normalize_title(c("raw")).alias("title"))
 
 
 @query("SELECT DISTINCT source, left(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '&', ' and ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug, doc_id FROM documents")
@@ -110,9 +124,9 @@ def to_iso(t):
 _DATES = [(1, "1717200000", 1717200000), (2, "1717200000123", 1717200000), (3, "13 août 2023", 1691884800), (4, "il y a 2 jours", 1717027200), (5, "5 hours ago", 1717182000), (6, "today", 1717200000), (7, "hier", 1717113600), (8, "soon", None), (9, "2024-02-30", None), (10, "3 months ago", 1709424000)]
 
 
-@query(f"SELECT id, CAST(secs AS BIGINT) AS secs FROM (VALUES {values([(i, s) for i, _, s in _DATES])}) v(id, secs)")
+@query(expected("orders", "o_orderkey", [r[2:] for r in _DATES], {"secs": "BIGINT"}))
 def date_corpus(t):
-    return corpus(t, [(i, x) for i, x, _ in _DATES], "id int, raw string").select("id", F.floor(dates.micros(dates.parse_date(c("raw"), NOW)) / 1_000_000).alias("secs"))
+    return dealt(t, "orders", "o_orderkey", [r[1:2] for r in _DATES], ["raw"]).select("id", F.floor(dates.micros(dates.parse_date(c("raw"), NOW)) / 1_000_000).alias("secs"))
 
 
 @query("""
@@ -142,9 +156,9 @@ _PAY = [
 ]
 
 
-@query(f"SELECT id, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, period, CAST(annual AS BIGINT) AS annual FROM (VALUES {values([(i, a, b, p, y) for i, _, a, b, p, y in _PAY])}) v(id, low, high, period, annual)")
+@query(expected("customer", "c_custkey", [r[2:] for r in _PAY], {"low": "DOUBLE", "high": "DOUBLE", "period": "VARCHAR", "annual": "BIGINT"}))
 def salary_corpus(t):
-    rows = corpus(t, [r[:2] for r in _PAY], "id int, raw string").withColumn("s", salary.parse_salary(c("raw")))
+    rows = dealt(t, "customer", "c_custkey", [r[1:2] for r in _PAY], ["raw"]).withColumn("s", salary.parse_salary(c("raw")))
     return rows.select("id", c("s.min").alias("low"), c("s.max").alias("high"), c("s.period").alias("period"), c("s.annualMin").alias("annual"))
 
 
@@ -176,21 +190,56 @@ _BODIES = [
 ]
 
 
-@query(f"SELECT id, required, preferred, education, years FROM (VALUES {values([(i, r, p, e, y) for i, _, r, p, e, y in _BODIES])}) v(id, required, preferred, education, years)")
+@query(expected("part", "p_partkey", [r[2:] for r in _BODIES], {x: "VARCHAR" for x in ("required", "preferred", "education", "years")}))
 def required_vs_preferred(t):
-    rows = corpus(t, [r[:2] for r in _BODIES], "id int, body string").withColumn("r", rules.extract_requirements(c("body"), _PACK))
+    rows = dealt(t, "part", "p_partkey", [r[1:2] for r in _BODIES], ["body"]).withColumn("r", rules.extract_requirements(c("body"), _PACK))
     return rows.select("id", F.array_join("r.requiredSkills", ",").alias("required"), F.array_join("r.preferredSkills", ",").alias("preferred"), F.array_join("r.education", ",").alias("education"), c("r.yearsExperience").alias("years"))
 
 
+_ASKED = [("Spark and writing", "'writing', 'spark'"), ("SQL", "'sql'"), ("a good mood", ""), ("driving with Kafka", "'driving', 'kafka'")]
+_LIKED = [("Kafka", "'kafka'"), ("SQL and Spark", "'spark', 'sql'"), ("none of these", "")]
+_GIVEN = [("lunch", ""), ("SQL lunch", "'sql'")]
+_SCHOOL = [("", ""), ("A degree.", "degree"), ("A diploma or degree.", "degree,diploma")]
+_TICKETS = [("", ""), ("First aid is needed.", "first aid"), ("Bring your first aid and forklift tickets.", "first aid,forklift")]
+_LISTED = replace(_PACK, certifications=[rules.Term("first aid"), rules.Term("forklift")])
+
+
+def _among(choices: list[tuple], at: str) -> str:
+    return f"[{', '.join(f'[{x}]::VARCHAR[]' for _, x in choices)}][CAST(({at}) % {len(choices)} AS INT) + 1]"
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS sections, {_among(_ASKED, 'o_orderkey // 4')} AS a, {_among(_LIKED, 'o_orderkey // 16')} AS b, {_among(_GIVEN, 'o_orderkey // 48')} AS c FROM orders),
+p AS (SELECT *, list_filter(['writing', 'driving', 'spark', 'sql', 'kafka'], lambda x: list_contains(list_concat(a, list_concat(b, c)), x)) AS pool FROM r),
+q AS (SELECT *, list_filter(pool, lambda x: CASE sections WHEN 0 THEN list_contains(a, x) WHEN 1 THEN list_contains(a, x) OR list_contains(b, x) ELSE false END) AS req, list_filter(CASE WHEN sections IN (0, 2) THEN b ELSE [] END, lambda x: NOT (sections = 0 AND list_contains(a, x))) AS pref FROM p),
+l AS (SELECT *, list_filter(pool, lambda x: NOT list_contains(req, x) AND NOT list_contains(pref, x)) AS rest FROM q)
+SELECT k AS id, array_to_string(CASE WHEN sections = 3 THEN pool WHEN len(req) = 0 THEN rest ELSE req END, ',') AS required, array_to_string(CASE WHEN sections = 3 THEN [] WHEN len(req) = 0 THEN pref ELSE list_concat(pref, rest) END, ',') AS preferred,
+  array_to_string(list_filter(pool, lambda x: x IN ('spark', 'sql', 'kafka')), ',') AS technologies, {picked([x for _, x in _TICKETS], 'k // 96')} AS certifications, {picked([x for _, x in _SCHOOL], 'k // 288')} AS education FROM l
+""")
+def requirements_of_all(t):
+    """Without a heading of its own, what is liked stands in the section of what is required, and what is asked for before any section."""
+    k = c("o_orderkey")
+    part = lambda choices, n: pick([x for x, _ in choices], F.floor(k / n))
+    headed = lambda heading, there, said: F.when(there, F.concat(F.lit(f"\n{heading} "), said)).otherwise(F.concat(F.lit(" Also "), said))
+    fill = F.lit(f". {_FILL}")
+    body = F.concat(
+        F.lit("We hire."), headed("Requirements:", (k % 4).isin(0, 1), part(_ASKED, 4)), fill, headed("Preferred:", (k % 4).isin(0, 2), part(_LIKED, 16)), fill,
+        F.lit("\nBenefits: "), part(_GIVEN, 48), fill, F.lit("\n"), part(_TICKETS, 96), F.lit("\n"), part(_SCHOOL, 288),
+    )
+    rows = t("orders").select(k.alias("id"), rules.extract_requirements(body, _LISTED).alias("r"))
+    named = {"required": "requiredSkills", "preferred": "preferredSkills", "technologies": "technologies", "certifications": "certifications", "education": "education"}
+    return rows.select("id", *(F.array_join(c("r")[x], ",").alias(y) for y, x in named.items()))
+
+
 _ROLES = [
     (1, "Senior Clerk", "", "senior", "unknown"), (2, "Intern, kitchen", "", "internship", "internship"), (3, "Clerk", "at least 2 years of experience, full-time", "junior", "full_time"), (4, "Clerk II", "contract of 6 months", "mid", "contract"), (5, "Director", "part-time", "director", "part_time"),
     (6, "Baker", "student co-op", "coop", "internship"), (7, "Baker", "no prior experience, seasonal", "entry", "temporary"), (8, "Baker", "12 years experience", "lead", "unknown"), (9, "Team manager", "volunteer", "manager", "volunteer"), (10, "Baker", "", "unknown", "unknown"),
 ]
 
 
-@query(f"SELECT id, level, employment FROM (VALUES {values([(i, a, b) for i, _, _, a, b in _ROLES])}) v(id, level, employment)")
+@query(expected("customer", "c_custkey", [r[3:] for r in _ROLES], {"level": "VARCHAR", "employment": "VARCHAR"}))
 def experience_level(t):
-    rows = corpus(t, [r[:3] for r in _ROLES], "id int, title string, body string")
+    rows = dealt(t, "customer", "c_custkey", [r[1:3] for r in _ROLES], ["title", "body"])
     return rows.select("id", rules.experience_level(c("title"), c("body")).alias("level"), rules.employment_type(c("title"), c("body")).alias("employment"))
 
 
@@ -242,9 +291,9 @@ def rank_score(t):
 _PLACES = [(1, "Work from home", True, False), (2, "Hybrid, 3 days in the office", False, True), (3, "Ottawa", False, False), (4, None, False, False)]
 
 
-@query(f"SELECT id, remote, hybrid FROM (VALUES {', '.join(f'({i}, {str(a).lower()}, {str(b).lower()})' for i, _, a, b in _PLACES)}) v(id, remote, hybrid)")
+@query(expected("supplier", "s_suppkey", [r[2:] for r in _PLACES], {"remote": "BOOLEAN", "hybrid": "BOOLEAN"}))
 def remote_flags(t):
-    return corpus(t, [r[:2] for r in _PLACES], "id int, place string").select("id", geo.is_remote(c("place")).alias("remote"), geo.is_hybrid(c("place")).alias("hybrid"))
+    return dealt(t, "supplier", "s_suppkey", [r[1:2] for r in _PLACES], ["place"]).select("id", geo.is_remote(c("place")).alias("remote"), geo.is_hybrid(c("place")).alias("hybrid"))
 
 
 @query("SELECT doc_id, lower(source || ' ' || chr(10) || ' ' || lang || ' ' || chr(10) || ' ' || left(text, 4000)) AS hay FROM documents")

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 @dataclass(frozen=True)
 class Term:
@@ -42,11 +44,13 @@ def all_rules(rules: list[tuple[str, str]], text: Column, limit: int) -> Column:
 
 def slice_section(text: Column, start: str, stops: list[str], least: int = 40, most: int = 4000) -> Column:
     """What follows the first start heading, up to the nearest stop heading more than `least` characters on, or `most` characters. Of each stop pattern the first match counts."""
+
+    def ended(rest: Column) -> Column:
+        places = F.filter(F.array(*(F.when(rest.rlike(p), F.length(F.regexp_extract(rest, rf"(?s)^(.*?)(?:{p})", 1))) for p in stops)), lambda i: i > least)
+        return F.substr(rest, F.lit(1), F.coalesce(F.array_min(places), F.least(F.length(rest), F.lit(most))))
+
     head = F.regexp_extract(text, rf"(?s)^(.*?(?:{start}))", 1)
-    rest = F.substr(text, F.length(head) + 1)
-    places = F.filter(F.array(*(F.when(rest.rlike(p), F.length(F.regexp_extract(rest, rf"(?s)^(.*?)(?:{p})", 1))) for p in stops)), lambda i: i > least)
-    end = F.coalesce(F.array_min(places), F.least(F.length(rest), F.lit(most)))
-    return F.when(head != "", F.substr(rest, F.lit(1), end))
+    return let(head, lambda h: F.when(h != "", let(F.substr(text, F.length(h) + 1), ended)))
 
 
 @dataclass(frozen=True)
@@ -62,23 +66,41 @@ class RequirementPack:
 
 def extract_requirements(text: Column, pack: RequirementPack) -> Column:
     """A struct of required and preferred skills, technologies, certifications, education and years."""
-    body = F.substring(text, 1, 30000)
     stops = [pack.stop, pack.preferred, pack.required]
-    req, pref = slice_section(body, pack.required, stops), slice_section(body, pack.preferred, stops)
     none = F.array().cast("array<string>")
-    pool = F.array_distinct(F.concat(find_terms(body, pack.skills, 40), find_terms(body, pack.technologies, 60)))
-    inside = lambda section: F.when(section.isNotNull(), F.concat(find_terms(section, pack.skills, 40), find_terms(section, pack.technologies, 40))).otherwise(none)
-    in_req = F.array_intersect(pool, inside(req))
-    in_pref = F.array_except(F.array_intersect(pool, inside(pref)), in_req)
-    left = F.array_except(F.array_except(pool, in_req), in_pref)
-    split = req.isNotNull() | pref.isNotNull()
-    required = F.when(~split, pool).when(F.size(in_req) == 0, left).otherwise(in_req)
-    preferred = F.when(~split, none).when(F.size(in_req) == 0, in_pref).otherwise(F.slice(F.concat(in_pref, left), 1, 30))
-    low, label = years_experience(body)
-    return F.struct(
-        F.slice(required, 1, 30).alias("requiredSkills"), F.slice(preferred, 1, 25).alias("preferredSkills"), F.slice(find_terms(body, pack.technologies, 60), 1, 40).alias("technologies"), F.slice(find_terms(body, pack.certifications, 30), 1, 20).alias("certifications"),
-        all_rules(pack.education, body, 4).alias("education"), label.alias("yearsExperience"), low.alias("yearsExperienceMin"),
-    )
+
+    # each step is computed once: terms and sections of the body, then terms of the sections, then what both share
+    def read(body: Column) -> Column:
+        found = F.struct(
+            find_terms(body, pack.skills, 40).alias("skills"), find_terms(body, pack.technologies, 60).alias("technologies"), find_terms(body, pack.certifications, 30).alias("certifications"),
+            slice_section(body, pack.required, stops).alias("required"), slice_section(body, pack.preferred, stops).alias("preferred"),
+        )
+        return let(found, lambda f: let(_terms_of_sections(f, pack), lambda p: let(_shared(p), lambda s: full(body, f, s))))
+
+    def full(body: Column, f: Column, s: Column) -> Column:
+        left = F.array_except(F.array_except(s["pool"], s["required"]), s["preferred"])
+        divided, lacking = f["required"].isNotNull() | f["preferred"].isNotNull(), F.size(s["required"]) == 0
+        required = F.when(~divided, s["pool"]).when(lacking, left).otherwise(s["required"])
+        preferred = F.when(~divided, none).when(lacking, s["preferred"]).otherwise(F.slice(F.concat(s["preferred"], left), 1, 30))
+        low, label = years_experience(body)
+        return F.struct(
+            F.slice(required, 1, 30).alias("requiredSkills"), F.slice(preferred, 1, 25).alias("preferredSkills"), F.slice(f["technologies"], 1, 40).alias("technologies"), F.slice(f["certifications"], 1, 20).alias("certifications"),
+            all_rules(pack.education, body, 4).alias("education"), label.alias("yearsExperience"), low.alias("yearsExperienceMin"),
+        )
+
+    return let(F.substring(text, 1, 30000), read)
+
+
+def _terms_of_sections(f: Column, pack: RequirementPack) -> Column:
+    """pool: all skills and technologies; required, preferred: those of the sections."""
+    inside = lambda section: F.when(section.isNotNull(), F.concat(find_terms(section, pack.skills, 40), find_terms(section, pack.technologies, 40))).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.array_distinct(F.concat(f["skills"], f["technologies"])).alias("pool"), inside(f["required"]).alias("required"), inside(f["preferred"]).alias("preferred"))
+
+
+def _shared(p: Column) -> Column:
+    """The sections' terms in the pool's order; what is required isn't preferred."""
+    required = F.array_intersect(p["pool"], p["required"])
+    return F.struct(p["pool"].alias("pool"), required.alias("required"), F.array_except(F.array_intersect(p["pool"], p["preferred"]), required).alias("preferred"))
 
 
 # ---- fixed values: patterns of levels, employment and years ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeezed, stripped
+from .text import let, squeezed, stripped
 
 # ---- fixed values ----
 #: Words for pay periods, tested in this order.
@@ -61,11 +61,6 @@ def parse_salary(raw: Column, context: Column | None = None) -> Column:
     return let(texts, lambda t: let(_amounts(t["text"]), lambda a: _pay(t["text"], t["around"], a)))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _amounts(text: Column) -> Column:
     group = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
     ranged = text.rlike(RANGE)

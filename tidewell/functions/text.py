@@ -51,6 +51,11 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċč
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squeezed(x: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(x, SPACE + "+", " "))
@@ -95,19 +100,45 @@ def html_to_text(x: Column) -> Column:
     return F.array_join(F.transform(F.split(tidy, "\n", -1), stripped), "\n")
 
 
+#: A tag from its beginning to the end of a piece that a closing bracket ended.
+_TAG = r"(?s)</?[a-zA-Z][a-zA-Z0-9]*(?![A-Za-z0-9_]).*$"
+_HREF = rf"""(?is)href{SPACE}*={SPACE}*(?:"([^"]*)"|'([^']*)'|((?:(?!{SPACE})[^>])+))"""
+
+
+def _safe_tag(tag: Column) -> Column:
+    """An allowed tag in lower case without attributes, a link with its http(s) target; nothing for any other tag."""
+
+    def link(attributes: Column) -> Column:
+        target = stripped(F.concat(*(F.regexp_extract(attributes, _HREF, i) for i in (1, 2, 3))))
+        opened = lambda u: F.concat(F.lit('<a href="'), F.replace(u, F.lit('"'), F.lit("&quot;")), F.lit('" target="_blank" rel="nofollow noopener noreferrer">'))
+        return let(target, lambda u: F.when(F.rlike(u, F.lit("(?i)^https?://")), opened(u)).otherwise("<a>"))
+
+    def shown(name: Column) -> Column:
+        return (
+            F.when(~name.isin(ALLOWED_TAGS), "")
+            .when(F.startswith(tag, F.lit("</")), F.concat(F.lit("</"), name, F.lit(">")))
+            .when(name == "a", link(F.substr(tag, F.lit(3))))
+            .otherwise(F.concat(F.lit("<"), name, F.lit(">")))
+        )
+
+    return let(F.lower(F.regexp_extract(tag, "^</?([a-zA-Z0-9]+)", 1)), shown)
+
+
 def sanitize_html(x: Column) -> Column:
-    """Allowed tags without attributes; of links only http(s) targets stay."""
-    drop = [r"<!--[\s\S]*?-->", r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"(?i)<iframe[\s\S]*?</iframe>", r"(?i)<(?:object|embed|form|input|button|link|meta|base)\b[^>]*>"]
-    out = reduce(lambda s, p: F.regexp_replace(s, p, ""), drop, F.coalesce(x, F.lit("")))
-    names = "|".join(ALLOWED_TAGS)
-    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{names})\b)[a-z][a-z0-9]*\b[^>]*>", "")
-    # a private-use mark keeps rewritten links from the next step
-    link = '<\uE000a href="$1" target="_blank" rel="nofollow noopener noreferrer">'
-    for quote in (r'"\s*(https?://[^"]*?)\s*"', r"'\s*(https?://[^'\"]*?)\s*'", r"(https?://[^\s>\"']+)"):
-        out = F.regexp_replace(out, rf"(?i)<a\b[^>]*?href\s*=\s*{quote}[^>]*>", link)
-    for name in ALLOWED_TAGS:
-        out = F.regexp_replace(F.regexp_replace(out, rf"(?i)</{name}\b[^>]*>", f"</{name}>"), rf"(?i)<{name}\b[^>]*>", f"<{name}>")
-    return stripped(F.regexp_replace(F.replace(out, F.lit("\uE000"), F.lit("")), r"\n{3,}", "\n\n"))
+    """Allowed tags without attributes; of links only http(s) targets stay.
+
+    Comments, scripts, styles, frames and embedded objects go first. What is left is cut once at closing brackets: a piece's tag is what begins
+    at its first tag name, so all tags are read in one pass over the text, and each is looked up in the list of allowed ones. Null is empty.
+    """
+    drop = [r"<!--[\s\S]*?-->", r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"(?i)<iframe[\s\S]*?</iframe>", r"(?i)<(?:object|embed|form|input|button|link|meta|base)(?![A-Za-z0-9_])[^>]*>"]
+    pieces = F.split(reduce(lambda s, p: F.regexp_replace(s, p, ""), drop, F.coalesce(x, F.lit(""))), ">", -1)
+
+    def safe(piece: Column) -> Column:
+        kept = lambda tag: F.when(tag == "", F.concat(piece, F.lit(">"))).otherwise(F.concat(F.left(piece, F.length(piece) - F.length(tag)), _safe_tag(tag)))
+        return let(F.regexp_extract(piece, _TAG, 0), kept)
+
+    joined = let(pieces, lambda p: F.concat(F.array_join(F.transform(F.slice(p, 1, F.size(p) - 1), safe), ""), F.element_at(p, -1)))
+    return stripped(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
 
 def summarize(x: Column, length: int = 280) -> Column:
@@ -182,14 +213,14 @@ def keywords(x: Column, limit: int = 120) -> Column:
     """The most frequent tokens, ties by first place."""
     tokens = F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[a-z][a-z0-9+#.\-]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) <= 30))
     # sorting makes equal tokens neighbours; a run begins where a token differs from the one before it
-    placed = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    placed = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def counted(p: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["w"] != F.get(p, k - 1)["w"]))
         return F.transform(F.array(begins), lambda b: F.transform(b, lambda k, j: F.struct((k - F.coalesce(F.get(b, j + 1), F.size(p))).alias("n"), F.get(p, k)["i"].alias("i"), F.get(p, k)["w"].alias("w"))))[0]
 
-    runs = F.transform(F.array(placed), lambda p: F.when(F.size(p) > 0, counted(p)).otherwise(F.array()))[0]
-    return F.slice(F.transform(F.array_sort(runs), lambda s: s["w"]), 1, limit)
+    runs = let(placed, lambda p: F.when(F.size(p) > 0, counted(p)).otherwise(F.array()))
+    return F.slice(F.transform(F.sort_array(runs), lambda s: s["w"]), 1, limit)
 
 
 def overlap_similarity(a: Column, b: Column) -> Column:
