@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -50,6 +51,12 @@ def lookup(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a long loop: Spark drops broadcasts and shuffles once the driver's collector has found their plans unused, and Python's references keep plans alive until its own collector has run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores before it until it clashes with no column (Spark's names ignore case)."""
     low = {x.lower() for x in taken}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fresh, frugal, mixed, runs, span_hashes, staged
+from .common import chunks, fresh, frugal, mixed, runs, span_hashes, staged, tidy
 
 _LOG = logging.getLogger(__name__)
 
@@ -219,6 +219,7 @@ def candidates(nodes: DataFrame, run_ids: range | list[int] = range(FIRST)) -> D
     while True:
         level += 1
         rows = staged(rows, "paths")
+        tidy(nodes.sparkSession)
         buckets = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("mark")).where("n > 1"), "buckets")
         # the same small bucket in several runs is compared once
         small = buckets.where(F.col("n") <= SMALL).groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key")
@@ -299,6 +300,7 @@ def candidate_groups(nodes: DataFrame, target: float = TARGET, report: dict | No
         new = candidates(nodes, range(done, upto))
         links, done = new if links is None else staged(links.unionByName(new).distinct(), "links"), upto
         groups = staged(components(links), "groups")
+        tidy(nodes.sparkSession)
         every, met = probed(nodes, groups)
         recall = met / every if every else 1.0
         _LOG.info("n-gram join: %d runs, recall %.5f of %d probe pairs", done, recall, every)
