@@ -95,3 +95,12 @@ def test_searches_scan_listings_once(spark, tmp_path, monkeypatch):
             assert {(r.value, r.n) for r in found.facets.collect() if r.facet == "categories"} == {("x", 100), ("y", 100)}
         assert str(tmp_path / "l") not in found.facets._jdf.queryExecution().executedPlan().toString()
     assert search.search(table, Filters(q="nothing at all"), datetime(2024, 1, 1)).rows.collect() == []
+
+
+def test_vocabulary_join_looks_at_the_words_beside_a_stretch(spark):
+    terms = [rules.Term(".a"), rules.Term("C++", ("c#",)), rules.Term("a-b"), rules.Term("ab cd")]
+    rows = [(0, "b.a"), (1, "c++b"), (2, "x .a"), (3, "C++ and c#"), (4, "a-b"), (5, "ab - cd"), (6, "c#1 c#"), (7, None), (8, "..."), (9, "--ab cd")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.terms for r in vocabulary.terms_joined(df, "id", F.col("text"), vocabulary.forms_table(spark, terms)).collect()}
+    want = {r.id: r.terms for r in df.select("id", rules.find_terms(F.coalesce("text", F.lit("")), terms).alias("terms")).collect() if r.terms}
+    assert got == want and 0 not in got and 1 not in got
