@@ -93,3 +93,10 @@ def test_board_ages(spark):
 
 def test_initials(spark):
     assert run(spark, ["The Acme Paper Co.", "x", ""], text.initials) == ["AP", "X", ""]
+
+
+def test_steps_of_a_listing_are_computed_once(spark):
+    written_out = lambda x: spark.range(1).select(F.lit("Acme Canada Inc").alias("x")).select(x(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert written_out(text.company_key).lower().count("translate(") == 1
+    assert written_out(salary.to_number).lower().count("regexp_replace(x") == 1
+    assert run(spark, ["Acme Canada Inc", "Inc", "Canada Group Inc", "A & B Co. Ltd. Corp Inc Group", "", None], text.company_key) == ["acme", "inc", "canada", "a-and-b-co", "", ""]
