@@ -104,3 +104,13 @@ def test_vocabulary_join_looks_at_the_words_beside_a_stretch(spark):
     got = {r.id: r.terms for r in vocabulary.terms_joined(df, "id", F.col("text"), vocabulary.forms_table(spark, terms)).collect()}
     want = {r.id: r.terms for r in df.select("id", rules.find_terms(F.coalesce("text", F.lit("")), terms).alias("terms")).collect() if r.terms}
     assert got == want and 0 not in got and 1 not in got
+
+
+def test_stored_listings_are_a_table_of_what_is_read(spark):
+    from compare import DATA
+
+    from tidewell.catalog import listings
+
+    rows = listings.stored_listings(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet"), listings._LISTED)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.columns == listings._LISTED and "FileScan parquet" in plan and "InMemoryTableScan" not in plan

@@ -71,7 +71,7 @@ def dedupe(listings: DataFrame) -> DataFrame:
         F.min_by(F.col("salary"), F.when(F.col("salary.min").isNotNull(), F.col("_ord"))).alias("_pay"),
         F.max("relevanceScore").alias("_relevance"),
         F.count(F.lit(1)).cast("int").alias("_copies"),
-        F.array_sort(F.collect_list(copy)).alias("_ranked"),
+        F.sort_array(F.collect_list(copy)).alias("_ranked"),
     )
     named = F.transform(F.slice("_ranked", 2, F.size("_ranked")), lambda s: F.struct(s["sourceName"].alias("sourceName"), s["url"].alias("url")))
     group = group.withColumn("_winner", F.col("_ranked")[0][f"k{len(keys) - 1}"]).withColumn("_others", named).drop("_ranked")
