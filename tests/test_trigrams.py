@@ -60,3 +60,16 @@ def test_batches_of_whole_documents(spark):
     found = trigrams.search(store, search.parse_query('"apache license"'))
     assert found.rows.count() == docs.where(F.lower("text").contains("apache license")).count() > 0
     assert found.candidates < n[0] < n[1]
+
+
+def test_only_row_and_gram_are_shuffled(spark):
+    df = spark.range(50).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    store = Store(spark, new_folder(spark, "test-narrow"))
+    for _ in range(2):
+        trigrams.append(store, df, F.col("text"))
+    rows = store.read("texts").select("row").collect()
+    assert len({r.row for r in rows}) == 100
+    # the numbers of a batch lie together, so that they pack
+    first = sorted(r.row for r in rows)[:50]
+    assert first[-1] - first[0] < 1 << trigrams.BATCH_BITS
+    assert store.read("postings").where(F.col("part") != F.pmod("row", F.lit(trigrams.PARTS))).count() == 0

@@ -17,7 +17,6 @@ own (two rows that share it by chance are both verified).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from tidewell.sources.store import Manifest, Store
 
 GRAM = 3
 PARTS, SLOTS = 64, 64
+#: Row numbers of a batch begin at a multiple of this power of two.
+BATCH_BITS = 52
 #: Grams whose postings are intersected.
 MOST_GRAMS = 6
 #: Share of all rows above which the rarest gram's postings save nothing.
@@ -56,14 +57,20 @@ def _slot(gram: Column, n: int) -> Column:
 
 def append(store: Store, rows: DataFrame, hay: Column) -> Manifest:
     """Adds a batch of rows, searchable by `hay` (its lower-case form), in one commit."""
-    own = F.xxhash64(F.lit(uuid4().hex), F.monotonically_increasing_id())
-    texts = written(rows.select(*rows.columns, F.lower(F.coalesce(hay, F.lit(""))).alias("hay"), own.alias("row")).withColumn("part", F.pmod("row", F.lit(PARTS)).cast("int")), "texts")
+    base = store.manifest()
+    # numbers of neighbouring rows are near each other, so that postings pack well; a batch begins far from the one before
+    own = F.monotonically_increasing_id() + F.lit(base.version % 2048 << BATCH_BITS)
+    # the numbers are fixed by a written table; the searched text is made from it again instead of being written twice
+    numbered = written(rows.withColumn("row", own), "texts")
+    texts = numbered.select(*rows.columns, F.lower(F.coalesce(hay, F.lit(""))).alias("hay"), "row", F.pmod("row", F.lit(PARTS)).cast("int").alias("part"))
     # a look-ahead finds a gram at every character, in one pass
     every = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    pairs = texts.select("row", "part", F.explode(every).alias("gram")).withColumn("slot", _slot(F.col("gram"), SLOTS))
-    postings = written(pairs.repartition("slot", F.pmod(F.hash("gram"), F.lit(7 * SLOTS))).sortWithinPartitions("slot", "gram"), "postings")
+    # only the row and the gram are shuffled: slot and part follow from them
+    pairs = texts.select("row", F.explode(every).alias("gram")).repartition(F.pmod(F.hash("gram"), F.lit(7 * SLOTS)))
+    slotted = pairs.select("gram", "row", F.pmod("row", F.lit(PARTS)).cast("int").alias("part"), _slot(F.col("gram"), SLOTS).alias("slot"))
+    postings = written(slotted.sortWithinPartitions("slot", "gram", "row"), "postings")
     counts = postings.groupBy("slot", "gram").agg(F.count(F.lit(1)).alias("n"))
-    return store.commit(store.manifest(), append={"texts": texts, "postings": postings, "grams": counts}, by=BY)
+    return store.commit(base, append={"texts": texts, "postings": postings, "grams": counts}, by=BY)
 
 
 def rarest(store: Store, at: Manifest, needed: set[str]) -> tuple[dict[str, int], int]:
