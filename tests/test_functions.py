@@ -49,6 +49,24 @@ def test_keywords(spark):
     assert run(spark, ["spark sql spark the the team b c++ c++x"], lambda x: F.array_join(text.keywords(x), ","))[0].split(",")[0] == "spark"
 
 
+def test_keywords_are_counted_as_in_plain_python(spark):
+    import random
+    import re
+    from collections import Counter
+
+    def plain(x, limit):
+        found = [w for w in re.findall(r"[a-z][a-z0-9+#.\-]{2,}", (x or "").lower()) if w not in text.STOP_WORDS and len(w) <= 30]
+        return [w for w, _ in Counter(found).most_common()][:limit]
+
+    rng = random.Random(4)
+    long = ["x" * 30, "x" * 31, "1" + "y" * 31, "z" * 29 + "."]
+    words = ["the", "THE", "with", "ab", "a", "abc", "xabc", "abc.", "c++", "c#x", "-abc", "9abc", "9", "9-ab", "éabc", "abcé", "Abc", "b-2", "node.js", "Kelvin", *long]
+    rows = [rng.choice([" ", ", ", "\n", "/"]).join(rng.choice(words) for _ in range(rng.randrange(90))) for _ in range(60)]
+    rows += [None, "", "the the with", "xabc abc abc", "abc abc xabc xabc the the the", "abc " * 30_000 + "xyz " * 20_000, " ".join(f"w{i * 7919 % 20_000}" for i in range(30_000)), f"{long[1]} {long[1]} abc"]
+    for limit in (1, 3, 10, 120):
+        assert run(spark, rows, lambda x: text.keywords(x, limit)) == [plain(x, limit) for x in rows], limit  # noqa: B023
+
+
 def test_tint_is_stable(spark):
     got = run(spark, ["acme", "acme", "", "Zürich"], text.tint)
     assert got[0] == got[1] and all(0 <= g < 6 for g in got)

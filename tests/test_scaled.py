@@ -114,3 +114,14 @@ def test_stored_listings_are_a_table_of_what_is_read(spark):
     rows = listings.stored_listings(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet"), listings._LISTED)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert rows.columns == listings._LISTED and "FileScan parquet" in plan and "InMemoryTableScan" not in plan
+
+
+def test_keywords_of_one_row_group_are_dealt_out_and_worked_out_once(spark, tmp_path):
+    from tidewell.catalog import QUERIES
+
+    rows = [(i, None if i % 50 == 0 else "the with" if i % 50 == 1 else f"word{i} twice twice") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["keywords_top"](spark, str(tmp_path))
+    assert {(r.doc_id, r.words) for r in found.collect()} == {(i, f"twice,word{i}") for i in range(400) if i % 50 > 1}
+    assert found.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
